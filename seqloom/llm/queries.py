@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontamination, exact_dedup, packing, quality, simhash, token_counts
+from seqloom.llm import decontamination, exact_dedup, licenses, packing, pii, quality, simhash, token_counts
 from seqloom.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_decontamination": op3_decontamination,
@@ -63,8 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op9_license_scan": licenses.oracle_sql(),
 }
