@@ -10,12 +10,13 @@ lengths and checksums are shuffled, in groups of bounded size.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,10 @@ from seqloom.runtime import Scratch
 WINDOW, END_ID = 2048, 1
 #: Pieces packed together: enough for nearly full windows, few enough for any task.
 GROUP_PIECES = 16_384
-#: Words' ids kept between batches; longer chunks aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
-#: White space as the tokenizer's normaliser has it. str.split() also splits at these four separators, the tokenizer doesn't.
-SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words whose ids a worker keeps between batches (about 250 MB), the longest word kept, and what stays when the memory is full: short words recur most.
+CACHE_ENTRIES, CACHE_CHARS, CACHE_SHORT = 1_200_000, 40, 6
+#: Bytes of text tokenised at once.
+SLICE_BYTES = 8_000_000
 
 
 class WordIds:
@@ -42,23 +42,47 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        chunks = [SPACE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = list(set().union(*chunks) - self.seen.keys()) if chunks else []
-        if len(self.seen) + len(new) > CACHE_ENTRIES:
-            self.seen.clear()
-            new = list(set().union(*chunks))
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin (one more: where the last one's end).
+
+        Cutting at ASCII white space is enough: longer chunks are encoded as they are.
+        """
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         seen = self.seen
+        new = [w for w in words if w not in seen]
+        if len(seen) + len(new) > CACHE_ENTRIES:
+            short = {w: b for w, b in seen.items() if len(w) <= CACHE_SHORT}
+            seen = self.seen = short if len(short) < CACHE_ENTRIES // 2 else {}
+            new = [w for w in words if w not in seen]
         for k in range(0, len(new), 4096):
             own = new[k : k + 4096]
             for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
                 seen[w] = array("I", e.ids).tobytes()
-        out = [b"".join(map(seen.__getitem__, own)) for own in chunks]
+        kept = list(map(seen.__getitem__, words))
         for w in new:
             if len(w) > CACHE_CHARS:
                 del seen[w]
-        return out
+        sizes = np.fromiter(map(len, kept), np.int64, len(kept)) // 4
+        every, first = np.frombuffer(b"".join(kept), "<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - ends + n, n)
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        return every[at], np.r_[0, ends][offsets]
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """ids() of slices of the texts of bounded size, each with its first row."""
+        sizes, start, held = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0, 0
+        for k, n in enumerate(sizes.tolist()):
+            if held and held + n > SLICE_BYTES:
+                yield start, *self.ids(texts.slice(start, k - start))
+                start, held = k, 0
+            held += n
+        if len(texts) > start:
+            yield start, *self.ids(texts.slice(start))
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -121,21 +145,20 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: Callable[[], str], window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut into full windows and a rest."""
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    end = array("I", [end_id]).tobytes()
+    end = np.array([end_id], "<u4")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encode = word_ids(path()).ids
+        encode = word_ids(path()).slices
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(5)]
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(names), 512):
-                for name, ids in zip(names[k : k + 512], encode([t or "" for t in texts.slice(k, 512).to_pylist()]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
+            names = batch.column("doc_id").to_pylist()
+            for first, ids, starts in encode(batch.column("text")):
+                for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True), first):
+                    own, total = np.concatenate([ids[a:b], end]), b - a + 1
                     for start in range(0, total, window):
-                        own = ids[4 * start : 4 * (start + window)]
-                        for column, value in zip(out, (name, start, len(own) // 4, zlib.crc32(own), total), strict=True):
+                        piece = own[start : start + window]
+                        for column, value in zip(out, (names[k], start, len(piece), zlib.crc32(piece), total), strict=True):
                             column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -171,10 +194,10 @@ def sequences(packed: DataFrame, docs: DataFrame, path: Callable[[], str], windo
     schema = "doc_id bigint, ids array<int>"
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encode = word_ids(path()).ids
+        encode = word_ids(path()).slices
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [[*memoryview(b).cast("I"), end_id] for b in encode([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [[*own[a:b].tolist(), end_id] for _, own, starts in encode(batch.column("text")) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
         return each

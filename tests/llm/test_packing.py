@@ -4,6 +4,7 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from seqloom.llm import packing
@@ -20,8 +21,12 @@ def test_word_ids_equal_the_library():
     rng = random.Random(1)
     pool = list("ab c'sd\n\t 1é́　​\x1f\x85|<>_-.ßΣ漢🙂İ")
     texts = ["", "<|endoftext|>x <|endoftext|>", "x\x85y᠎z", "ΑΣ ΑΣ."] + ["".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(2000)]
-    got = packing.WordIds(PATH).ids(texts)
-    assert [list(memoryview(b).cast("I")) for b in got] == library(texts)
+    words = packing.WordIds(PATH)
+    for column in (pa.array(texts), pa.array(["other", *texts, "more"]).slice(1, len(texts))):
+        ids, starts = words.ids(column)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == library(texts)
+    ids, starts = words.ids(pa.array([None, ""], pa.string()))
+    assert len(ids) == 0 and starts.tolist() == [0, 0, 0]
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -43,6 +48,8 @@ def test_best_fit_takes_the_tightest_window():
 
 def test_pieces_cover_each_document_once_and_sequences_have_no_gaps(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
     rng = random.Random(6)
     texts = [None, "", "word", "a b " * 3000] + [" ".join(rng.choices(["alpha", "beta", "x1"], k=rng.randrange(1500))) for _ in range(150)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, offset int").repartition(4)
