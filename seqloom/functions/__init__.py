@@ -1 +1 @@
-"""Functions of the sequence-corpus engine."""
+"""Column functions: hashing, scalar text rules and exact arithmetic."""
