@@ -1,8 +1,8 @@
 """N-gram language-model scores from an Elias-Fano trie in shards.
 
 The model is a bigram model with interpolated absolute discounting over word
-classes: each of the VOCABULARY most frequent training words is a class of its
-own, all other words share one. No token is left out: a rare word's probability
+classes: each of the most frequent training words, VOCABULARY at most, is a class
+of its own, all other words share one. No token is left out: a rare word's probability
 is that of the shared class times the word's share in it by add-half counts.
 
 First trie level: classes in order of frequency with their log-probabilities and
@@ -12,8 +12,8 @@ plus successor, in Elias-Fano form beside quantised log-probabilities, cut into
 shards by ranges of about equal use. Within a context, a successor is searched
 by its value relative to the context's start. A shard is one flat buffer that is
 used where it lies, whether it comes in a row or from a mapped file. Texts are
-read once to score: their n-grams go to the shards in compact blocks, and only
-sums for each text come back.
+read once to score: their n-grams go to the shards in compact blocks, and a
+block of sums comes back for each.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ DISCOUNT = 0.75
 #: Log-probabilities are kept in steps of 1/QUANTUM of a decimal place, in 16 bits.
 QUANTUM = 4096
 #: N-gram occurrences for which a shard is meant, and tokens that a task holds before it sends blocks.
-SHARD_USES, FLUSH_TOKENS = 1_000_000, 1_000_000
+SHARD_USES, FLUSH_TOKENS = 2_000_000, 600_000
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
 END = b""
@@ -288,6 +288,26 @@ def merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(counts, at)
 
 
+#: Words are cut off between steps of 1/STEPS in the natural logarithm of their counts.
+STEPS = 64
+
+
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, VOCABULARY at most: all above a cut that a histogram of counts gives.
+
+    A sort with a limit would send that many rows from every task to the driver.
+    """
+    step = F.floor(F.ln("n") * STEPS)
+    steps = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    cut, taken = math.inf, 0
+    for at, words in steps:
+        taken += words
+        if taken > VOCABULARY:
+            break
+        cut = at
+    return counts.filter(step >= int(cut)) if steps and cut != math.inf else counts.limit(0)
+
+
 @dataclass
 class Model:
     """first: sent to every task. table: (shard, content), tries from 0 on, counts of other words below 0."""
@@ -303,7 +323,7 @@ def train_model(docs: DataFrame) -> Model:
     train = docs.select(F.col("text").cast("string").alias("text"))
     counts = scratch.keep(word_counts(train), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+    top = frequent(counts).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")  # VOCABULARY rows at most
     own = top.n.to_numpy(dtype=np.int64)
     words = {bytes(w): k + 1 for k, w in enumerate(top.word)}
     of_class = np.r_[total - own.sum(), own].astype(np.int64)
@@ -383,7 +403,8 @@ def cold_shard(hashes: np.ndarray, cold: int) -> np.ndarray:
 #: Shards at and below this hold sums of texts that need no lookup.
 SUMS = -(1 << 40)
 _BLOCK = "shard bigint, part bigint, first_row bigint, keys binary, rows binary"
-_SUMS = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, n_rare bigint, log_rare double, log_grams double"
+_ANSWER = "first_row bigint, kind int, rows binary, sums binary"
+_SUMS = "doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, n_rare bigint, log_rare double, log_grams double"
 
 
 def _questions(rows: DataFrame, sent) -> DataFrame:
@@ -442,19 +463,14 @@ def _questions(rows: DataFrame, sent) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK)
 
 
-def _summed(rows: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
-    """One row for each text with the sums of the given columns, zero for the others."""
+def _by_text(rows: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes]:
+    """The texts of a block, ascending, and the sums of each column over a text's entries."""
     own, back = np.unique(rows, return_inverse=True)
-    made = {n: np.bincount(back, v, len(own)) for n, v in columns.items()}
-    n = len(own)
-    whole = {
-        "row": pa.array(own, pa.int64()), "doc_id": pa.nulls(n, pa.int64()), "n_tokens": pa.array(np.zeros(n, np.int64)), "n_known": pa.array(made.get("n_known", np.zeros(n)).astype(np.int64)),
-        "log_counts": pa.array(np.zeros(n)), "n_rare": pa.array(made.get("n_rare", np.zeros(n)).astype(np.int64)), "log_rare": pa.array(made.get("log_rare", np.zeros(n))), "log_grams": pa.array(made.get("log_grams", np.zeros(n))),
-    }
-    return pa.table(whole)
+    return rising(own), b"".join(np.bincount(back, v, len(own)).tobytes() for v in values)
 
 
 def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Answers each block with a block of sums; kind 0: n-grams, 1: other words, 2: what needs no lookup."""
     state: dict = {}
 
     def answer(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -463,17 +479,13 @@ def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
             state["share"] = first.log_share()
         shard = key[0].as_py()
         contents = model.column("content").to_pylist()
-        out = []
+        trie = TrieShard(contents[0]) if contents and shard >= 0 else None
+        out: list[tuple] = []
         for first_row, keys, rows in zip(*(blocks.column(c).to_pylist() for c in ("first_row", "keys", "rows")), strict=True):
-            row = unsqueeze(rows).astype(np.int64) + first_row
             if shard <= SUMS:
-                n = len(row)
-                ids, none = np.frombuffer(keys, np.int64, n), np.frombuffer(keys, np.uint8, n, 8 * n).astype(bool)
-                sizes, known, sums = (np.frombuffer(keys, t, n, 9 * n + 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.float64)))
-                zero = np.zeros(n)
-                out.append(pa.table({"row": row, "doc_id": pa.array(ids, mask=none), "n_tokens": sizes, "n_known": known, "log_counts": sums, "n_rare": zero.astype(np.int64), "log_rare": zero, "log_grams": zero}))
+                out.append((first_row, 2, rows, keys))
                 continue
-            asked = unrising(keys)
+            row, asked = unsqueeze(rows), unrising(keys)
             if shard < 0:
                 n = np.zeros(len(asked), np.int64)
                 if contents:
@@ -481,18 +493,39 @@ def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
                     have, counts = np.frombuffer(contents[0], np.uint64, size), np.frombuffer(contents[0], np.int64, size, 8 * size)
                     at = np.minimum(np.searchsorted(have, asked), size - 1)
                     n = np.where(have[at] == asked, counts[at], 0)
-                out.append(_summed(row, {"n_known": (n > 0).astype(float), "n_rare": np.ones(len(n)), "log_rare": np.log10(n + 0.5)}))
+                out.append((first_row, 1, *_by_text(row, n > 0, np.ones(len(n)), np.log10(n + 0.5))))
             else:
                 x, y = np.divmod(asked.astype(np.int64), first.classes)
                 logs = first.log_backoff[x] + state["share"][y]
-                if contents:
-                    logs = TrieShard(contents[0]).log_probabilities(asked, logs)
-                out.append(_summed(row, {"log_grams": logs}))
-        return pa.concat_tables(out) if out else pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("n_rare", pa.int64()), ("log_rare", pa.float64()), ("log_grams", pa.float64())]).empty_table()
+                out.append((first_row, 0, *_by_text(row, trie.log_probabilities(asked, logs) if trie else logs)))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("first_row", "kind", "rows", "sums"), columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     return answer
 
 
+def _add_up(key: tuple, blocks: pa.Table) -> pa.Table:
+    """The texts of one task's turn, from all blocks of sums about them: at most about FLUSH_TOKENS entries."""
+    kinds, rows, sums = (blocks.column(c).to_pylist() for c in ("kind", "rows", "sums"))
+    own = kinds.index(2)
+    texts = unsqueeze(rows[own]).astype(np.int64)
+    n = len(texts)
+    ids, none = np.frombuffer(sums[own], np.int64, n), np.frombuffer(sums[own], np.uint8, n, 8 * n).astype(bool)
+    sizes, known, log_counts = (np.frombuffer(sums[own], t, n, 9 * n + 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.float64)))
+    known, rare, log_rare, log_grams = known.astype(float), np.zeros(n), np.zeros(n), np.zeros(n)
+    for kind, row, values in zip(kinds, rows, sums, strict=True):
+        if kind == 2:
+            continue
+        at = np.searchsorted(texts, unrising(row).astype(np.int64))
+        columns = np.frombuffer(values, np.float64).reshape(-1, len(at))
+        for total, column in zip((log_grams,) if kind == 0 else (known, rare, log_rare), columns, strict=True):
+            total[at] += column  # a block names a text once
+    return pa.table({
+        "doc_id": pa.array(ids, mask=none), "n_tokens": sizes, "n_known": known.astype(np.int64), "log_counts": log_counts,
+        "n_rare": rare.astype(np.int64), "log_rare": log_rare, "log_grams": log_grams,
+    })
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 1. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
@@ -506,8 +539,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     parts = [[k, int(p)] for k, p in enumerate(model.first.parts.tolist()) if p > 1]
     spread = spark.createDataFrame(parts or [[-(1 << 50), 1]], "shard bigint, parts bigint")
     table = model.table.join(F.broadcast(spread), "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).select("shard", "part", "content")
-    answers = table.groupBy("shard", "part").cogroup(_questions(rows, sent).groupBy("shard", "part")).applyInArrow(_answer(sent), _SUMS)
-    sums = answers.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "n_rare", "log_rare", "log_grams")))
+    answers = table.groupBy("shard", "part").cogroup(_questions(rows, sent).groupBy("shard", "part")).applyInArrow(_answer(sent), _ANSWER)
+    sums = answers.groupBy("first_row").applyInArrow(_add_up, _SUMS)
     log_mass, log_shared = math.log10(model.first.mass), float(model.first.log_share()[0])
     rare = F.col("log_rare") - F.col("n_rare") * (log_mass + log_shared)
     return sums.select("doc_id", "n_tokens", "n_known", (F.col("log_counts") + F.col("log_rare") - F.col("n_tokens") * log_mass).alias("base_score"), (F.col("log_grams") + rare).alias("score"))

@@ -18,7 +18,8 @@ def brute(docs):
     c = Counter(w for h, ws in zip(held, own) if not h for w in ws)
     n, v = sum(c.values()), len(c)
     mass = n + 0.5 * (v + 1)
-    top = {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: lm.VOCABULARY]}
+    step = lambda w: math.floor(math.log(c[w]) * lm.STEPS)
+    top = {w for w in c if sum(step(x) >= step(w) for x in c) <= lm.VOCABULARY}
     of = lambda w: w if w in top else None
     q = {w: (c[w] + 0.5) / mass for w in top}
     q[None] = max(1 - sum(q.values()), 0.5 / mass)
