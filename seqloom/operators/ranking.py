@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import keyed_digest
@@ -56,3 +57,21 @@ def lowest(groups: DataFrame, key: str, seed: int | str, k: int) -> DataFrame:
         return groups.select(key)
     within = ranked.filter(bucket == edge).orderBy("__digest", key).limit(k - taken)
     return ranked.filter(bucket < edge).select(key).unionByName(within.select(key))
+
+
+def running_total(df: DataFrame, order: list[Column], amount: str, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """df with the sum of amount over all rows up to each in the given total order, without a single-task window.
+
+    Rows are sorted by range and summed within each partition; what the partitions
+    before it hold is added from one row for each partition.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "running")
+    placed = scratch.keep(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.spark_partition_id()), "sorted")
+    parts = sorted((r["__p"], r.s) for r in placed.groupBy("__p").agg(F.sum(amount).alias("s")).collect())
+    before, total = [], 0
+    for p, s in parts:
+        before.append((p, total))
+        total += s
+    first = F.broadcast(df.sparkSession.createDataFrame(before, "__p int, __before bigint"))
+    within = F.sum(amount).over(W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(first, "__p").withColumn(name, within + F.col("__before")).drop("__at", "__p", "__before")

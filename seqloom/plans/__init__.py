@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("corpus",)
+_MODULES = ("corpus", "labelling", "statistics")
 
 
 def registered() -> tuple[dict, dict]:
