@@ -7,9 +7,10 @@ from math import gcd, isqrt
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("numerator string, denominator string")
+@F.pandas_udf(T.StructType([T.StructField("numerator", T.StringType()), T.StructField("denominator", T.StringType())]))
 def reduced(numerator: pd.Series, denominator: pd.Series) -> pd.DataFrame:
     """A rational in lowest terms with a positive denominator; null where the denominator is zero."""
 
@@ -45,13 +46,13 @@ def round_root(c: int, r: int, places: int = 12) -> int:
     return (1 if c >= 0 else -1) * (whole + up)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def rho_at_least(covariance: pd.Series, radicand: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """1, 0 or -1 as covariance / sqrt(radicand) is above, at or below a / b; null where the radicand isn't positive."""
     return pd.Series([None if int(r) <= 0 else compare_root(int(c), int(r), int(x), int(y)) for c, r, x, y in zip(covariance, radicand, a, b)], dtype="Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rho_text(covariance: pd.Series, radicand: pd.Series) -> pd.Series:
     """The correlation to 12 places, rounded half to even."""
 
