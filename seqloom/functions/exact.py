@@ -70,3 +70,45 @@ def greatest_common_divisor(a: Column, b: Column) -> Column:
     steps = F.sequence(F.lit(1), F.lit(92))
     start = F.struct(F.abs(a).alias("x"), F.abs(b).alias("y"))
     return F.aggregate(steps, start, lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, F.lit(0).cast("bigint")).otherwise(s["x"] % s["y"]).alias("y")), lambda s: s["x"])
+
+
+def surd_sum_sign(terms: list[tuple[int, int]]) -> int:
+    """Sign of the sum of c / sqrt(r) over terms (c, r > 0), exact.
+
+    Each term is bounded by integer roots at growing precision. A sum of n such
+    surds of at most b bits that isn't zero is larger than 2**-(b * 2**n), so a sum
+    that small is zero.
+    """
+    terms = [(c, r) for c, r in terms if c]
+    if not terms:
+        return 0
+    bits = max(max(abs(c).bit_length(), r.bit_length()) for c, r in terms) + 4
+    places, most = 64, bits * 2 ** (len(terms) + 1)
+    while True:
+        scale = 1 << (2 * places)
+        low = high = 0
+        for c, r in terms:
+            root = isqrt(c * c * scale // r)  # floor of |c| / sqrt(r) times 2**places
+            low += root if c > 0 else -(root + 1)
+            high += root + 1 if c > 0 else -root
+        if low > 0:
+            return 1
+        if high < 0:
+            return -1
+        if places > most:
+            return 0
+        places *= 2
+
+
+def delta_terms(candidate: tuple[int, int], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The surds of candidate - max(0, *others); a tuple is (covariance, radicand)."""
+    best: tuple[int, int] = (0, 1)
+    for o in others:
+        if surd_sum_sign([o, (-best[0], best[1])]) > 0:
+            best = o
+    return [candidate, (-best[0], best[1])]
+
+
+def compare_deltas(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> int:
+    """Sign of one difference of correlations less another."""
+    return surd_sum_sign([*left, *((-c, r) for c, r in right)])
