@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("corpus", "labelling", "statistics", "metadata")
+_MODULES = ("corpus", "labelling", "statistics", "metadata", "documents")
 
 
 def registered() -> tuple[dict, dict]:
