@@ -7,6 +7,8 @@ fold builder is sequential, over one row for each family.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from fractions import Fraction
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import event_uniform
-from seqloom.runtime import ship_package
+from seqloom.runtime import Scratch, ship_package
 
 FEATURES = (
     "position_bucket", "line_length_bucket", "reported_direction", "damage", "observation_status", "previous_equality",
@@ -245,19 +247,10 @@ def family_support(tokens: DataFrame, family: str, classes: list[str]) -> DataFr
     return tokens.groupBy(family).pivot("truth", classes).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def greedy_folds(support: DataFrame, family: str, classes: list[str], folds: int, domain: str = "outer") -> DataFrame:
-    """(family, fold): balanced folds in which every class keeps support, by exact fractions.
-
-    Families with rare classes and large shares go first. Each goes where, in this
-    order, fewest (fold, class) cells stay empty, then tokens, family presence and
-    fold sizes are least uneven; the lower fold wins ties. The choice depends on all
-    earlier ones, so one task works through the table of families, which is small.
-    """
-    ship_package(support.sparkSession)
+def _folder(family: str, classes: list[str], folds: int, domain: str, by: str) -> Callable[[pa.Table], pa.Table]:
+    """What deals one table of families to folds; by names a column that is the same in all its rows."""
 
     def one(rows: pa.Table) -> pa.Table:
-        import hashlib
-
         names = rows.column(family).to_pylist()
         counts = dict(zip(names, zip(*(rows.column(c).to_pylist() for c in classes), strict=True), strict=True))
         tokens = [sum(v[k] for v in counts.values()) for k in range(len(classes))]
@@ -297,10 +290,38 @@ def greedy_folds(support: DataFrame, family: str, classes: list[str], folds: int
             cost, held, present = best
             placed[name] = cost[-1]
             size[cost[-1]] += 1
-        return pa.table({family: pa.array(list(placed), pa.string()), "fold": pa.array(list(placed.values()), pa.int32())})
+        return pa.table({by: pa.array([rows.column(by)[0].as_py()] * len(placed), pa.int32()), family: pa.array(list(placed), pa.string()), "fold": pa.array(list(placed.values()), pa.int32())})
+
+    return one
 
-    whole = support.select(F.col(family).cast("string").alias(family), *(F.col(c).cast("bigint").alias(c) for c in classes), F.lit(0).alias("__all"))
-    return whole.groupBy("__all").applyInArrow(lambda rows: one(rows), f"{family} string, fold int")
+
+def greedy_folds(support: DataFrame, family: str, classes: list[str], folds: int, domain: str = "outer") -> DataFrame:
+    """(family, fold): balanced folds in which every class keeps support, by exact fractions.
+
+    Families with rare classes and large shares go first. Each goes where, in this
+    order, fewest (fold, class) cells stay empty, then tokens, family presence and
+    fold sizes are least uneven; the lower fold wins ties. The choice depends on all
+    earlier ones, so one task works through the table of families, which is small.
+    """
+    ship_package(support.sparkSession)
+
+    whole = _support_table(support, family, classes).withColumn("__all", F.lit(0))
+    return whole.groupBy("__all").applyInArrow(_folder(family, classes, folds, domain, "__all"), f"__all int, {family} string, fold int").drop("__all")
+
+
+def _support_table(support: DataFrame, family: str, classes: list[str]) -> DataFrame:
+    return support.select(F.col(family).cast("string").alias(family), *(F.col(c).cast("bigint").alias(c) for c in classes))
+
+
+def nested_folds(support: DataFrame, family: str, classes: list[str], outer: int = 5, inner: int = 4) -> DataFrame:
+    """(outer, family, inner): inner is null for the families that the outer fold holds out, else their fold among the rest."""
+    ship_package(support.sparkSession)
+    scratch = Scratch(support.sparkSession, "folds")
+    placed = scratch.keep(greedy_folds(support, family, classes, outer, "outer"), "outer")
+    every = placed.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    rest = every.filter("fold <> outer").join(_support_table(support, family, classes), family)
+    dealt = rest.groupBy("outer").applyInArrow(_folder(family, classes, inner, "inner", "outer"), f"outer int, {family} string, fold int")
+    return every.filter("fold = outer").select("outer", family, F.lit(None).cast("int").alias("inner")).unionByName(dealt.withColumnRenamed("fold", "inner"))
 
 
 def one_standard_error(scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,11 @@ def write_split(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").partitionBy("partition").parquet(path)
 
 
+def content_path(folder: str, content: Column) -> Column:
+    """Where an immutable file of the given content belongs: its name is its digest."""
+    return F.concat(F.lit(folder.rstrip("/") + "/sha256-"), F.sha2(content.cast("binary"), 256), F.lit(".json"))
+
+
 def report(row: DataFrame) -> str:
     """A one-row report as indented JSON with sorted keys."""
     found = row.limit(2).collect()

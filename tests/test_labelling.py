@@ -184,3 +184,39 @@ def test_reviews_fail_closed(spark):
     assert reviews.ready_totals(subjects, spark.createDataFrame([("bad",)], "e string")).first().ready == 0
     made = spark.createDataFrame([("k", "x"), ("k", "z")], "key string, value string")
     assert [r.value for r in reviews.no_invention(made, spark.createDataFrame([("k", "x"), ("j", "z")], made.schema), ["key"], "value").collect()] == ["z"]
+
+
+def test_nested_folds_hold_out_and_deal_the_rest(spark):
+    rng = random.Random(4)
+    rows = [(f"f{i}", *(rng.choice([1, 2, 5]) for _ in range(2))) for i in range(30)]
+    df = spark.createDataFrame(rows, "family string, x long, y long")
+    outer = {r.family: r.fold for r in labelling.greedy_folds(df, "family", ["x", "y"], 3, "outer").collect()}
+    got = {(r.outer, r.family): r.inner for r in labelling.nested_folds(df, "family", ["x", "y"], 3, 2).collect()}
+    assert len(got) == 90
+    for (o, family), inner in got.items():
+        assert (inner is None) == (outer[family] == o) and inner in (None, 0, 1)
+
+
+def test_counter_streams_are_fair_and_repeatable():
+    from seqloom.functions.streams import CounterStream
+
+    a, b = CounterStream(b"k", "label", 3), CounterStream(b"k", "label", 3)
+    assert [a.below(7) for _ in range(50)] == [b.below(7) for _ in range(50)]
+    assert CounterStream(b"k", "label", 4).below(10**9) != CounterStream(b"k", "label", 3).below(10**9)
+    s = CounterStream(b"k", "x")
+    counts = [0] * 5
+    for _ in range(2000):
+        counts[s.below(5)] += 1
+    assert min(counts) > 320 and sorted(s.shuffled(range(20))) == list(range(20)) and len(set(s.sample("abcdef", 4))) == 4
+    with pytest.raises(ValueError):
+        s.below(0)
+
+
+def test_synthetic_corpus_is_learnable(spark):
+    from seqloom.sources.synthetic import CLASSES, known_script
+
+    rows = known_script(spark, 60).withColumn("weight", F.lit(1.0))
+    assert {r.family: r.n for r in rows.groupBy("family").agg(F.count("*").alias("n")).collect()}.values() and set(rows.groupBy("family").count().toPandas()["count"]) <= set(range(6, 12))
+    split = rows.withColumn("test", F.col("family") >= "family-00000045")
+    found = labelling.bayes_scores(split.filter("test"), split.filter("NOT test"), ["form"], ["family", "pos"], CLASSES).collect()
+    assert sum(r.truth == r.predicted for r in found) > 0.95 * len(found)

@@ -166,3 +166,31 @@ def test_catalogue_lines_bitmaps_and_inventory(spark, tmp_path):
         files.bitmaps(spark, str(tmp_path / "p")).collect()
     found = {r.file.rsplit("/", 1)[-1]: (r.format, r.parses, r.rows, r.ragged) for r in files.inventory(spark, str(tmp_path)).collect()}
     assert found["c.csv"] == ("csv", True, 3, 0) and found["r.jsonl"] == ("jsonl", True, 3, 0) and found["a.pbm"][0] in ("other", "binary")
+
+
+def test_json_schema_issues(spark):
+    from seqloom.sources.json_schema import schema_issues
+
+    schema = {
+        "type": "object", "required": ["id", "parts"], "additionalProperties": False,
+        "properties": {"id": {"$ref": "#/$defs/id"}, "parts": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": ["integer", "null"], "minimum": 0}}, "kind": {"enum": ["a", 1]}, "only": {"const": True}},
+        "if": {"properties": {"kind": {"const": "a"}}, "required": ["kind"]}, "then": {"required": ["only"]}, "$defs": {"id": {"type": "string", "pattern": "^[a-z]+$", "maxLength": 3}},
+    }
+    cases = {
+        '{"id":"ab","parts":[1,null]}': set(), '{"id":"ABCD","parts":[]}': {("$.id", "pattern"), ("$.id", "maxLength"), ("$.parts", "minItems")}, '{"parts":[1,1,-1,1.5],"x":0}': {("$.id", "required"), ("$.parts", "uniqueItems"), ("$.parts[2]", "minimum"), ("$.parts[3]", "type"), ("$.x", "additionalProperties")},
+        '{"id":"a","parts":[0],"kind":"a"}': {("$.only", "required")}, '{"id":"a","parts":[0],"kind":true,"only":1}': {("$.kind", "enum"), ("$.only", "const")}, "nope": {("$", "json")}, "[]": {("$", "type")},
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, j string")
+    got = {k: set() for k in range(len(cases))}
+    for r in schema_issues(rows, "k", "j", schema).collect():
+        got[r.k].add((r.path, r.keyword))
+    assert list(got.values()) == list(cases.values())
+
+
+def test_content_paths(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("é",)], "c string").select(artifacts.content_path("dir/", F.col("c")).alias("p")).first().p
+    assert got == f"dir/sha256-{hashlib.sha256('é'.encode()).hexdigest()}.json"
