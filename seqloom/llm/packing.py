@@ -26,7 +26,7 @@ from seqloom.runtime import Scratch
 WINDOW, END_ID = 2048, 1
 #: Pieces packed together: enough for nearly full windows, few enough for any task.
 GROUP_PIECES = 16_384
-#: Words whose ids a worker keeps between batches (about 250 MB), the longest word kept, and what stays when the memory is full: short words recur most.
+#: Words whose ids a worker keeps between batches (about 30 MB), the longest word kept, and what stays when the memory is full: short words recur most.
 CACHE_ENTRIES, CACHE_CHARS, CACHE_SHORT = 1_200_000, 40, 6
 #: Bytes of text tokenised at once.
 SLICE_BYTES = 8_000_000
@@ -40,7 +40,37 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words, their ids one after another, and where each word's begin and how many there are."""
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, words: pa.Array, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        short = pc.less_equal(pc.utf8_length(words), CACHE_CHARS).to_numpy(zero_copy_only=False)
+        if len(self.words) + int(short.sum()) > CACHE_ENTRIES:
+            stays = pc.less_equal(pc.utf8_length(self.words), CACHE_SHORT).to_numpy(zero_copy_only=False)
+            old = (self.words.filter(pa.array(stays)), self.flat, self.first[stays], self.sizes[stays])
+            self.forget()
+            if len(old[0]) < CACHE_ENTRIES // 2:
+                self._add(*old)
+        if int(short.sum()) <= CACHE_ENTRIES:
+            self._add(words.filter(pa.array(short)), flat, first[short], sizes[short])
+
+    def _add(self, words: pa.Array, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        own = flat[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.words, self.flat, self.sizes = pa.concat_arrays([self.words, words]), np.concatenate([self.flat, own]), np.concatenate([self.sizes, sizes])
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, sizes = array("I"), np.zeros(len(words), np.int64)
+        for k in range(0, len(words), 4096):
+            for j, e in enumerate(self.tokenizer.encode_batch_fast(words.slice(k, 4096).to_pylist(), add_special_tokens=False), k):
+                own = e.ids
+                sizes[j] = len(own)
+                flat.extend(own)
+        return np.frombuffer(flat.tobytes(), "<u4"), np.cumsum(sizes) - sizes, sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin (one more: where the last one's end).
@@ -49,29 +79,24 @@ class WordIds:
         """
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        seen = self.seen
-        new = [w for w in words if w not in seen]
-        if len(seen) + len(new) > CACHE_ENTRIES:
-            short = {w: b for w, b in seen.items() if len(w) <= CACHE_SHORT}
-            seen = self.seen = short if len(short) < CACHE_ENTRIES // 2 else {}
-            new = [w for w in words if w not in seen]
-        for k in range(0, len(new), 4096):
-            own = new[k : k + 4096]
-            for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                seen[w] = array("I", e.ids).tobytes()
-        kept = list(map(seen.__getitem__, words))
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del seen[w]
-        sizes = np.fromiter(map(len, kept), np.int64, len(kept)) // 4
-        every, first = np.frombuffer(b"".join(kept), "<u4"), np.cumsum(sizes) - sizes
+        words = coded.dictionary
+        known = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(known).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(known, 0).to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(missing))
+        flat, new_first, new_sizes = self._encode(new)
+        first, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[~missing], sizes[~missing] = self.first[at[~missing]], self.sizes[at[~missing]]
+        first[missing], sizes[missing] = len(self.flat) + new_first, new_sizes
+        every = np.concatenate([self.flat, flat])
+        if len(new):
+            self._keep(new, flat, new_first, new_sizes)
         which = coded.indices.to_numpy()
         n = sizes[which]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - ends + n, n)
+        spot = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - ends + n, n)
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        return every[at], np.r_[0, ends][offsets]
+        return every[spot], np.r_[0, ends][offsets]
 
     def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """ids() of slices of the texts of bounded size, each with its first row."""
