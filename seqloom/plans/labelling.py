@@ -27,10 +27,7 @@ def classes(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with form (a band of the value; null if damaged), truth (event type), family, line and pos."""
-    from seqloom.sources.tables import table
-
-    values = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") / 10).cast("bigint").alias("band"), (F.col("value") < 5.0).alias("damaged"))
-    tokens = event_lines(spark, sf_dir).drop("sign").join(values, "event_id")
+    tokens = event_lines(spark, sf_dir).drop("sign").withColumn("band", F.floor(F.col("value") / 10).cast("bigint")).withColumn("damaged", F.col("value") < 5.0)
     return tokens.withColumn("form", F.when(~F.col("damaged"), F.concat(F.lit("f"), F.col("band").cast("string")))).withColumn("reported_direction", F.lit("known"))
 
 
@@ -115,7 +112,8 @@ SELECT count(mr) AS mild_tokens, count(hr) AS harsh_tokens, count(*) FILTER (mr
 
 def _examples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = lab.structural_features(lines(spark, sf_dir), LINE).withColumn("form_value", F.coalesce("form", F.lit("DAMAGED")))
-    rows = lab.family_weights(splits.group_split(rows, "family"), "family")
+    # Written once: training and test rows, masses and scores all read it.
+    rows = Scratch(spark, "examples").keep(lab.family_weights(splits.group_split(rows, "family"), "family"), "rows")
     return rows.filter("partition = 'train'"), rows.filter("partition = 'test'")
 
 

@@ -24,6 +24,7 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("site"),
         "event_id",
         "ts",
+        "value",
         F.when(F.col("value") >= DAMAGED_BELOW, F.col("event_type")).alias("sign"),
         F.col("event_type").alias("truth"),
     )
