@@ -33,7 +33,7 @@ LABELLED, POOL = 12_000, 6_000
 #: Words of the text view at most, how many labelled documents a word must occur in, and by how many standard errors its share must differ.
 WORDS, WORD_LEAST, WORD_SURE = 512, 5, 4.0
 ROUNDS, SURE, PSEUDO = 3, 0.97, 500
-META = 512
+META = 128
 #: Share of labelled rows kept apart for calibration, in 1/10.
 HELD = 3
 
@@ -70,17 +70,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Weights and a last intercept by Newton steps; the intercept isn't shrunk."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x1.shape[1], ridge)
+def fit_logistic(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+    """Weights and a last intercept for the given rows of x by Newton steps; the intercept isn't shrunk.
+
+    Rows are taken in blocks, so that x is never copied as a whole.
+    """
+    width = x.shape[1] + 1
+    penalty = np.full(width, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(width)
     for _ in range(steps):
-        p = sigmoid(x1 @ w)
-        gradient = x1.T @ (weight * (p - y)) + penalty * w
-        curve = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1
-        curve[np.diag_indices_from(curve)] += penalty
+        gradient, curve = penalty * w, np.diag(penalty)
+        for k in range(0, len(rows), 2048):
+            part = np.ones((len(rows[k : k + 2048]), width))
+            part[:, :-1] = x[rows[k : k + 2048]]
+            p = sigmoid(part @ w)
+            gradient = gradient + part.T @ (weight[k : k + 2048] * (p - y[k : k + 2048]))
+            curve = curve + (part * (weight[k : k + 2048] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
         step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-5:
@@ -138,10 +144,19 @@ def sample(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
         F.when((F.coalesce(F.min("quality"), F.lit(1)) > 0) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0), 1).otherwise(0).alias("good")
     )
     judged = scratch.keep(judged, "judged")
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = scratch.keep(judged.join(ids, "doc_id", "left_semi").orderBy(*order).limit(LABELLED), "labelled")
-    pool = scratch.keep(ids.join(judged, "doc_id", "left_anti").orderBy(*order).limit(POOL), "pool")
+
+    def lowest(most: int, rows: int):
+        """Ids of the lowest hashes: a few more than `most` of so many rows are expected, so only those are ever sorted."""
+        share = min(1.0, (most + 6 * math.sqrt(most)) / max(1, rows))
+        return F.xxhash64("doc_id") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
+
+    # An id must be both labelled and there; where few labelled documents are there, fewer are taken.
+    some = lowest(LABELLED, judged.count())
+    known = scratch.keep(judged.filter(some).join(ids.filter(some).distinct(), "doc_id", "left_semi").orderBy(*order).limit(LABELLED), "labelled")
+    some = lowest(POOL, max(1, docs.count() - judged.count()))
+    pool = scratch.keep(ids.filter(some).distinct().join(judged.filter(some), "doc_id", "left_anti").orderBy(*order).limit(POOL), "pool")
     wanted = known.unionByName(pool.withColumn("good", F.lit(None).cast("int")))
     found = _columns(docs).join(F.broadcast(wanted), "doc_id")  # at most LABELLED + POOL rows
     return scratch.keep(found, "sample")
@@ -188,9 +203,9 @@ def features(rows: DataFrame, known: list[bytes]) -> tuple[np.ndarray, np.ndarra
         return each
 
     got = map_batches(rows, "doc_id bigint, x binary, m binary, good double", make).toPandas().sort_values(["doc_id", "x"], kind="stable")
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, width).astype(np.float64)
+    x = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, width)
     slots = np.frombuffer(b"".join(got.m), np.int32).reshape(-1, 4)
-    m = np.zeros((len(slots), META))
+    m = np.zeros((len(slots), META), np.float32)
     m[np.arange(len(slots))[:, None], slots] = 1
     return x, m, got.good.to_numpy(dtype=np.float64)
 
@@ -205,8 +220,9 @@ def co_train(x: np.ndarray, m: np.ndarray, good: np.ndarray, known: list[bytes])
     train = labelled[np.arange(len(labelled)) % 10 >= HELD]
     pool = np.flatnonzero(np.isnan(good))
     k = len(known)
-    centre, scale = x[train, k:].mean(axis=0), x[train, k:].std(axis=0) + 1e-6
-    x = np.hstack([x[:, :k], (x[:, k:] - centre) / scale])
+    shaped = x[train, k:].astype(np.float64)
+    centre, scale = shaped.mean(axis=0), shaped.std(axis=0) + 1e-6
+    x = np.hstack([x[:, :k], ((x[:, k:] - centre) / scale).astype(np.float32)])
     views, ridge = (x, m), (0.3, 5.0)
     pseudo: list[dict[int, float]] = [{}, {}]  # for each view: pool row to label, given by the other view
     for turn in range(ROUNDS + 1):
@@ -215,10 +231,10 @@ def co_train(x: np.ndarray, m: np.ndarray, good: np.ndarray, known: list[bytes])
             extra = np.array(sorted(pseudo[v]), dtype=int)
             rows = np.r_[train, extra]
             y = np.r_[good[train], [pseudo[v][int(r)] for r in extra]]
-            w = fit_logistic(views[v][rows], y, np.r_[np.ones(len(train)), np.full(len(extra), 0.5)], ridge[v])
+            w = fit_logistic(views[v], rows, y, np.r_[np.ones(len(train)), np.full(len(extra), 0.5)], ridge[v])
             logit = views[v] @ w[:-1] + w[-1]
             fitted.append((w, logit))
-            calibrated.append(fit_logistic(logit[held][:, None], good[held], np.ones(len(held)), 0.01))
+            calibrated.append(fit_logistic(logit[:, None], held, good[held], np.ones(len(held)), 0.01))
         if turn == ROUNDS or not len(pool):
             break
         for v in (0, 1):
@@ -227,7 +243,7 @@ def co_train(x: np.ndarray, m: np.ndarray, good: np.ndarray, known: list[bytes])
                 best = np.argsort(-sure, kind="stable")[: PSEUDO * (turn + 1)]
                 pseudo[1 - v].update((int(pool[r]), label) for r in best if sure[r] >= SURE)
     logits = np.stack([c[0] * f[1] + c[1] for c, f in zip(calibrated, fitted, strict=True)], axis=1)
-    both = fit_logistic(logits[held], good[held], np.ones(len(held)), 0.01)
+    both = fit_logistic(logits, held, good[held], np.ones(len(held)), 0.01)
     return Model(known, centre, scale, fitted[0][0], fitted[1][0], both, np.stack(calibrated), share)
 
 
