@@ -88,6 +88,17 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert ids == {d for d, _, c in ((d, f, c) for (d, f), c in zip(prints, brute_components(prints), strict=True)) if d is None or d == c}
 
 
+def test_hot_fingerprints_take_the_other_way(spark, monkeypatch):
+    from seqloom import runtime
+
+    rows = [(i, "the same text for most rows") for i in range(60)] + [(100 + i, f"another text of its own number {i} and more words {i * 7}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(runtime, "HOT_LEAST", 5)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 10)
+    assert sorted(map(str, simhash.near_duplicates(df).collect())) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []
