@@ -28,6 +28,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()  # workers live on, so what a task has freed should go back
 
     return df.mapInArrow(run, schema)
 

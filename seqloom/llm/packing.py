@@ -29,7 +29,7 @@ GROUP_PIECES = 16_384
 #: Words whose ids a worker keeps between batches (about 30 MB), the longest word kept, and what stays when the memory is full: short words recur most.
 CACHE_ENTRIES, CACHE_CHARS, CACHE_SHORT = 1_200_000, 40, 6
 #: Bytes of text tokenised at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 class WordIds:
