@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from seqloom.llm import token_counts
@@ -19,8 +20,21 @@ def test_counts_equal_the_library(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 50)
     own = texts()
     want = [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(own, add_special_tokens=False)]
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 3000)
     counter = token_counts.TokenCounter(PATH)
-    assert counter.count(own) == want and counter.count(own) == want
+    assert counter.count(own) == want
+    for _ in range(2):
+        assert counter.count_column(pa.array(own)).tolist() == want
+    assert counter.count_column(pa.array(["x", *own, "y"]).slice(1, len(own))).tolist() == want
+    assert counter.count_column(pa.array([None, ""], pa.string())).tolist() == [0, 0] and counter.count_column(pa.array([], pa.string())).tolist() == []
+
+
+def test_words_with_inner_breaks_equal_the_library():
+    rng = random.Random(3)
+    words = ["foo", "bar's", "x\ny", "é.", "12", "don't", "a\tb", "\n", "漢字", "end\n", "\nstart", "a\u3000b", "\x1c", "🙂"]
+    own = [rng.choice([" ", "", "\n"]).join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(3000)]
+    want = [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(own, add_special_tokens=False)]
+    assert token_counts.TokenCounter(PATH).count_column(pa.array(own)).tolist() == want
 
 
 def test_proved_strings_are_one_token_alone():
