@@ -1,12 +1,21 @@
 """N-gram language-model scores from an Elias-Fano trie in shards.
 
-The model is a bigram model with interpolated absolute discounting over word
-classes: each of the most frequent training words, VOCABULARY at most, is a class
-of its own, all other words share one. No token is left out: a rare word's probability
-is that of the shared class times the word's share in it by add-half counts.
-
-First trie level: classes in order of frequency with their log-probabilities and
-backoff weights (bounded, sent to all tasks). Second level: for each context its
+The model is a bigram model with interpolated absolute discounting over words:
+every training word is a context and a successor of its own. Where VOCABULARY is
+set, it is one over word classes instead: each of the most frequent words is a class
+of its own, all others share one, and a rare word's probability is that of the shared
+class times the word's share in it by add-half counts.
+
+First trie level: the most frequent words (HOT at most) in order of frequency with
+their log-probabilities and backoff weights (bounded, sent to all tasks). All other
+words are cold: they are named by a 64-bit hash, and their counts and backoff weights
+lie in shards by that hash. A bigram with a cold word is named by a hash of both
+names and lies in the shard of its successor if that is cold, else of its context;
+it holds what the bigram adds to backoff weight times unigram probability, so that a
+text's score is a sum of what the shards answer. Which words are hot changes the cost
+only, not the scores.
+
+Second level, for bigrams of hot words: for each context its
 successors. The level is one monotone sequence, context times number of classes
 plus successor, in Elias-Fano form beside quantised log-probabilities, cut into
 shards by ranges of about equal use. Within a context, a successor is searched
@@ -36,8 +45,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import map_batches
 from seqloom.runtime import Scratch, ship_package
 
-#: Classes at most, beside the one of all other words. Bounds what is sent to every task: about 12 MB.
-VOCABULARY = 1 << 17
+#: If set, classes at most, beside the one that all other words then share. None: every word is a class of its own.
+VOCABULARY: int | None = None
+#: Words at most that are sent to every task, about 12 MB; all others are looked up in shards.
+HOT = 1 << 17
 DISCOUNT = 0.75
 #: Log-probabilities are kept in steps of 1/QUANTUM of a decimal place, in 16 bits.
 QUANTUM = 4096
@@ -159,14 +170,17 @@ class TrieShard:
 
 @dataclass
 class First:
-    """The first level and what it takes to score: bounded by VOCABULARY."""
+    """The first level and what it takes to score: bounded by HOT or VOCABULARY."""
 
-    words: dict[bytes, int]  # to the class, from 1 in order of frequency; class 0 holds all other words
+    words: dict[bytes, int]  # to the class, from 1 in order of frequency; 0 stands for all other words
     counts: np.ndarray  # training count of each class
     total: int  # training tokens
     distinct: int  # distinct training tokens
     starts: np.ndarray  # first key of each shard
-    cold: int  # shards of the other words' counts
+    cold: int  # shards of the other words' counts, and of their bigrams
+    shared: bool  # whether the other words are one class
+    names: np.ndarray  # 64-bit hash of each class's word
+    kinds: np.ndarray | None = None  # distinct successors of each class
     log_backoff: np.ndarray | None = None
     parts: np.ndarray | None = None  # tasks that share a shard's queries
 
@@ -179,11 +193,19 @@ class First:
         return self.total + 0.5 * (self.distinct + 1)
 
     def log_share(self) -> np.ndarray:
-        """Log-probability of each class by add-half counts; the shared class has what the others leave."""
+        """Log-probability of each class by add-half counts; a shared class has what the others leave."""
         own = (self.counts + 0.5) / self.mass
-        own[0] = max(1 - own[1:].sum(), 0.5 / self.mass)
+        own[0] = max(1 - own[1:].sum(), 0.5 / self.mass) if self.shared else 1.0
         return np.log10(own)
 
+    def named(self, names: np.ndarray) -> np.ndarray:
+        """The class of each name, 0 for cold words."""
+        if self.classes == 1:
+            return np.zeros(len(names), np.int64)
+        order = np.argsort(self.names[1:]) + 1
+        at = np.minimum(np.searchsorted(self.names[order], names), len(order) - 1)
+        return np.where(self.names[order[at]] == names, order[at], 0)
+
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, keys, "right") - 1
 
@@ -239,53 +261,106 @@ def coded(own: list[bytes], words: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(words.get, own, repeat(0)), np.int64, len(own))
 
 
-def keys_of(classes_in_order: np.ndarray, ends: np.ndarray, end_class: int, classes: int) -> np.ndarray:
-    """Key of each token with the one before it; before a text stands an end. ends: where each text's tokens end."""
-    before = np.empty_like(classes_in_order)
-    before[1:] = classes_in_order[:-1]
-    before[np.r_[0, ends[:-1]]] = end_class
-    return (before * classes + classes_in_order).astype(np.uint64)
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def before(ends: np.ndarray) -> np.ndarray:
+    """Place of the token before each token; before a text stands its own end. ends: where each text's tokens end."""
+    places = np.arange(ends[-1]) - 1
+    places[np.r_[0, ends[:-1]]] = ends - 1
+    return places
+
+
+def pair_names(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64-bit names of bigrams from their words' names."""
+    z = x * np.uint64(0x9E3779B97F4A7C15) + y
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
+
+
+def runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows starts."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def spans(*columns: np.ndarray) -> zip:
+    """Start and end of each run of equal rows."""
+    at = runs_of(*columns)
+    return zip(at, np.r_[at[1:], len(columns[0])][: len(at)], strict=True)
+
+
+_GRAMS = "shard bigint, keys binary, others binary, counts binary"
 
 
 def gram_counts(train: DataFrame, first: First, sent) -> DataFrame:
-    """(shard, keys, counts): blocks of distinct keys, ascending, with how often each occurs."""
+    """(shard, keys, others, counts): blocks of distinct bigrams, ascending, with how often each occurs.
+
+    Shards from 0 on: keys of hot bigrams. Below 0: names of contexts (keys) and of
+    successors (others), in the shard of a cold context, or below -cold in that of
+    the successor if the context is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = sent.value
-        end_class, held, n = top.words.get(END, 0), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            own = [t for text in held for t in tokens(text)]
-            ends = np.cumsum([len((t or "").encode().split()) + 1 for t in held])
-            keys, counts = np.unique(keys_of(coded(own, top.words), ends, end_class, top.classes), return_counts=True)
-            shards = top.shard(keys)
-            cut = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
-            parts = list(zip(cut, np.r_[cut[1:], len(keys)], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards[cut], pa.int64()), pa.array([rising(keys[a:b]) for a, b in parts], pa.binary()), pa.array([squeeze(counts[a:b]) for a, b in parts], pa.binary())],
-                names=["shard", "keys", "counts"],
-            )
+        top: First = sent.value
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            texts = [tokens(text) for text in held]
+            ends = np.cumsum([len(t) for t in texts])
+            own = [t for ts in texts for t in ts]
+            y = coded(own, top.words)
+            place = before(ends)
+            x = y[place]
+            hot = np.full(len(y), True) if top.shared else (x > 0) & (y > 0)
+            keys, counts = np.unique((x[hot] * top.classes + y[hot]).astype(np.uint64), return_counts=True)
+            shards, out = top.shard(keys), []
+            for a, b in spans(shards):
+                out.append((int(shards[a]), rising(keys[a:b]), None, squeeze(counts[a:b])))
+            mixed = np.flatnonzero(~hot)
+            if len(mixed):
+                names, rare = top.names[y], np.flatnonzero(y == 0)
+                names[rare] = hashed([own[k] for k in rare])
+                hx, hy = names[place[mixed]], names[mixed]
+                shards = np.where(x[mixed] == 0, cold_shard(hx, top.cold), cold_shard(hy, top.cold) - top.cold)
+                order = np.lexsort((hy, hx, shards))
+                hx, hy, shards = hx[order], hy[order], shards[order]
+                at = runs_of(shards, hx, hy)
+                counts = np.diff(np.r_[at, len(hx)])
+                hx, hy, shards = hx[at], hy[at], shards[at]
+                for a, b in spans(shards):
+                    out.append((int(shards[a]), rising(hx[a:b]), squeeze(hy[a:b]), squeeze(counts[a:b])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "others", "counts"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.append(text)
                 n += len(text or "") // 5 + 1
                 if n >= FLUSH_TOKENS:
-                    yield from flush()
+                    yield flush()
                     held, n = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
-    return train.select("text").mapInArrow(run, "shard bigint, keys binary, counts binary")
+    return train.select("text").mapInArrow(run, _GRAMS)
 
 
-def merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     keys = np.concatenate([unrising(b) for b in blocks.column("keys").to_pylist()])
     counts = np.concatenate([unsqueeze(b) for b in blocks.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[at], np.add.reduceat(counts, at)
+    others = blocks.column("others").to_pylist()
+    if others[0] is None:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = runs_of(keys)
+        return keys[at], np.add.reduceat(counts, at), None
+    other = np.concatenate([unsqueeze(b) for b in others])
+    order = np.lexsort((other, keys))
+    keys, counts, other = keys[order], counts[order], other[order]
+    at = runs_of(keys, other)
+    return keys[at], np.add.reduceat(counts, at), other[at]
 
 
 #: Words are cut off between steps of 1/STEPS in the natural logarithm of their counts.
@@ -293,7 +368,7 @@ STEPS = 64
 
 
 def frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent words, VOCABULARY at most: all above a cut that a histogram of counts gives.
+    """The most frequent words, VOCABULARY or HOT at most: all above a cut that a histogram of counts gives.
 
     A sort with a limit would send that many rows from every task to the driver.
     """
@@ -302,7 +377,7 @@ def frequent(counts: DataFrame) -> DataFrame:
     cut, taken = math.inf, 0
     for at, words in steps:
         taken += words
-        if taken > VOCABULARY:
+        if taken > (HOT if VOCABULARY is None else VOCABULARY):
             break
         cut = at
     return counts.filter(step >= int(cut)) if steps and cut != math.inf else counts.limit(0)
@@ -310,7 +385,7 @@ def frequent(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """first: sent to every task. table: (shard, content), tries from 0 on, counts of other words below 0."""
+    """first: sent to every task. table: (shard, content), tries from 0 on, other words below 0 and their bigrams below -cold."""
 
     first: First
     table: DataFrame
@@ -323,37 +398,48 @@ def train_model(docs: DataFrame) -> Model:
     train = docs.select(F.col("text").cast("string").alias("text"))
     counts = scratch.keep(word_counts(train), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = frequent(counts).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")  # VOCABULARY rows at most
+    top = frequent(counts).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")  # VOCABULARY or HOT rows at most
     own = top.n.to_numpy(dtype=np.int64)
     words = {bytes(w): k + 1 for k, w in enumerate(top.word)}
     of_class = np.r_[total - own.sum(), own].astype(np.int64)
-    first = First(words, of_class, int(total), int(distinct), ranges(of_class, total), max(1, -(-int(of_class[0]) // SHARD_USES)))
+    shared, names = VOCABULARY is not None, np.r_[np.zeros(1, np.uint64), hashed(list(words))]
+    # A cold word's use makes two bigrams and one lookup of the word.
+    cold = max(1, -(-int(of_class[0]) * (1 if shared else 4) // SHARD_USES))
+    first = First(words, of_class, int(total), int(distinct), ranges(of_class, total), cold, shared, names)
     sent = spark.sparkContext.broadcast(first)
 
     # Counts are merged shard by shard; a shard's blocks are few bytes for each distinct n-gram.
     def merge(key: tuple, blocks: pa.Table) -> pa.Table:
-        keys, n = merged(blocks)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([rising(keys)], pa.binary()), "counts": pa.array([squeeze(n)], pa.binary()), "uses": pa.array([int(n.sum())], pa.int64())})
+        keys, n, others = merged(blocks)
+        return pa.table({
+            "shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([rising(keys)], pa.binary()), "others": pa.array([None if others is None else squeeze(others)], pa.binary()),
+            "counts": pa.array([squeeze(n)], pa.binary()), "uses": pa.array([int(n.sum())], pa.int64()),
+        })
 
-    grams = gram_counts(train, first, sent).groupBy("shard").applyInArrow(merge, "shard bigint, keys binary, counts binary, uses bigint")
+    grams = gram_counts(train, first, sent).groupBy("shard").applyInArrow(merge, f"{_GRAMS}, uses bigint")
     grams = scratch.keep(grams, "grams")
 
     classes = first.classes
 
     def followed() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def contexts_of(keys: np.ndarray, shard: int) -> np.ndarray:
+            return (keys // np.uint64(classes)).astype(np.int64) if shard >= 0 else sent.value.named(keys)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            contexts, n = np.unique(np.concatenate([unrising(b) // np.uint64(classes) for b in batch.column("keys").to_pylist()]), return_counts=True)
+            own = [contexts_of(unrising(b), s) for b, s in zip(batch.column("keys").to_pylist(), batch.column("shard").to_pylist(), strict=True)]
+            contexts, n = np.unique(np.concatenate(own), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(contexts.astype(np.int64)), pa.array(n, pa.int64())], names=["context", "kinds"])
 
         return each
 
     kinds = np.zeros(classes, np.int64)
-    found = map_batches(grams.select("keys"), "context bigint, kinds bigint", followed).groupBy("context").agg(F.sum("kinds").alias("kinds")).toPandas()  # a row for each class at most
+    found = map_batches(grams.filter(F.col("shard") >= 0 if shared else ~F.col("shard").between(-cold, -1)).select("shard", "keys"), "context bigint, kinds bigint", followed).groupBy("context").agg(F.sum("kinds").alias("kinds")).toPandas()  # a row for each class at most
     kinds[found.context.to_numpy(dtype=np.int64)] = found.kinds.to_numpy(dtype=np.int64)
     with np.errstate(divide="ignore", invalid="ignore"):
         first.log_backoff = np.where(of_class > 0, np.log10(np.minimum(1.0, DISCOUNT * kinds / of_class)), 0.0)
     first.log_backoff[~np.isfinite(first.log_backoff)] = 0.0
-    uses = {r.shard: r.uses for r in grams.select("shard", "uses").collect()}  # as many rows as there are shards
+    first.kinds = kinds
+    uses = {r.shard: r.uses for r in grams.filter("shard >= 0").select("shard", "uses").collect()}  # as many rows as there are shards
     first.parts = np.array([max(1, -(-uses.get(k, 0) // (2 * SHARD_USES))) for k in range(len(first.starts))], np.int64)
     sent = spark.sparkContext.broadcast(first)
 
@@ -371,29 +457,92 @@ def train_model(docs: DataFrame) -> Model:
 
         return each
 
-    tries = map_batches(grams.select("shard", "keys", "counts"), "shard bigint, content binary", levels)
+    tries = map_batches(grams.filter("shard >= 0").select("shard", "keys", "counts"), "shard bigint, content binary", levels)
+    others = _shared_words(counts, sent) if shared else _cold_words(grams.filter("shard < 0"), sent)
+    return Model(first, scratch.keep(tries.unionByName(others), "model"))
+
+
+def _shared_words(counts: DataFrame, sent) -> DataFrame:
+    """(shard, content): the counts of the words of the shared class, by hash: none has more than total / VOCABULARY uses."""
 
-    # The other words' counts by hash: no word outside the vocabulary has more than total / VOCABULARY uses.
-    hashed = map_batches(counts, "shard bigint, hash bigint, n bigint", lambda: _hash_words(sent))
+    def names() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        first: First = sent.value
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in first.words]
+            h = hashed([w for w, _ in own])
+            return pa.RecordBatch.from_arrays([pa.array(cold_shard(h, first.cold), pa.int64()), pa.array(h.view(np.int64)), pa.array([n for _, n in own], pa.int64())], names=["shard", "hash", "n"])
+
+        return each
 
     def keep(key: tuple, rows: pa.Table) -> pa.Table:
         h, n = rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy()
         order = np.argsort(h)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([h[order].tobytes() + n[order].astype("<i8").tobytes()], pa.binary())})
+        content = h[order].tobytes() + n[order].astype("<i8").tobytes() + np.zeros(len(h)).tobytes()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    others = hashed.groupBy("shard").applyInArrow(keep, "shard bigint, content binary")
-    return Model(first, scratch.keep(tries.unionByName(others), "model"))
+    return map_batches(counts, "shard bigint, hash bigint, n bigint", names).groupBy("shard").applyInArrow(keep, "shard bigint, content binary")
+
+
+def gain(n: np.ndarray, kinds: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """log10 of a bigram's probability over backoff weight times unigram probability, in 1/QUANTUM."""
+    return np.clip(np.rint(np.log10(1 + (n.astype(float) - DISCOUNT) / (DISCOUNT * kinds * share)) * QUANTUM), 0, 65535).astype("<u2")
+
+
+def _cold_words(grams: DataFrame, sent) -> DataFrame:
+    """(shard, content): counts and backoff weights of cold words, and gains of the bigrams that hold one.
+
+    A text's tokens with its end form a ring, so a word is a context as often as it
+    is a token, and a cold context's shard knows its count and its successors. What
+    has a cold successor goes on to that word's shard, which knows its count.
+    """
 
+    def deal() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        first: First = sent.value
 
-def _hash_words(sent) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    first = sent.value
+        def one(shard: int, hx: np.ndarray, hy: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+            names = pair_names(hx, hy)
+            if shard < -first.cold:
+                kinds, ahead = first.kinds[first.named(hx)], np.arange(len(hx))
+            else:
+                at = runs_of(hx)
+                of = np.diff(np.r_[at, len(hx)])
+                kinds, y = np.repeat(of, of), first.named(hy)
+                done, ahead = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+                share = (first.counts[y[done]] + 0.5) / first.mass
+                words = [rising(hx[at]), squeeze(np.add.reduceat(n, at)), squeeze(of)]
+                yield shard, *words, squeeze(names[done]), squeeze(gain(n[done], kinds[done], share))
+            to = cold_shard(hy[ahead], first.cold)
+            order = np.argsort(to, kind="stable")
+            to, ahead = to[order], ahead[order]
+            for a, b in spans(to):
+                own = ahead[a:b]
+                yield int(to[a]), squeeze(hy[own]), squeeze(n[own]), squeeze(kinds[own]), squeeze(names[own]), None
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in first.words]
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in own), np.uint64, len(own))
-        return pa.RecordBatch.from_arrays([pa.array(cold_shard(h, first.cold), pa.int64()), pa.array(h.view(np.int64)), pa.array([n for _, n in own], pa.int64())], names=["shard", "hash", "n"])
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "others", "counts")), strict=True)
+            out = [row for s, k, o, n in rows for row in one(s, unrising(k), unsqueeze(o), unsqueeze(n))]
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "words", "counts", "kinds", "names", "gains"])
 
-    return each
+        return each
+
+    def keep(key: tuple, rows: pa.Table) -> pa.Table:
+        first: First = sent.value
+        own, ahead = rows.filter(rows.column("gains").is_valid()), rows.filter(rows.column("gains").is_null())
+        column = lambda t, c: np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(b) for b in t.column(c).to_pylist())])
+        words = np.concatenate([np.zeros(0, np.uint64), *(unrising(b) for b in own.column("words").to_pylist())])  # one row: the shard's cold contexts
+        n, kinds = column(own, "counts").astype("<i8"), column(own, "kinds")
+        y = np.searchsorted(words, column(ahead, "words"))
+        gains = gain(column(ahead, "counts"), column(ahead, "kinds"), (n[y] + 0.5) / first.mass)
+        names, gains = np.r_[column(own, "names"), column(ahead, "names")], np.r_[column(own, "gains").astype("<u2"), gains]
+        order = np.argsort(names)
+        content = [words.tobytes() + n.tobytes() + np.log10(DISCOUNT * kinds / n).tobytes(), names[order].tobytes() + gains[order].tobytes()]
+        shard = key[0].as_py()
+        return pa.table({"shard": pa.array([shard, shard - first.cold], pa.int64()), "content": pa.array(content, pa.binary())})
+
+    dealt = map_batches(grams.select("shard", "keys", "others", "counts"), "shard bigint, words binary, counts binary, kinds binary, names binary, gains binary", deal)
+    return dealt.groupBy("shard").applyInArrow(keep, "shard bigint, content binary")
 
 
 def cold_shard(hashes: np.ndarray, cold: int) -> np.ndarray:
@@ -412,7 +561,7 @@ def _questions(rows: DataFrame, sent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: First = sent.value
-        end_class, log_counts = first.words.get(END, 0), np.log10(first.counts + 0.5)
+        log_counts, share = np.log10(first.counts + 0.5), first.log_share()
         log_counts[0] = 0.0
         held, n, turn = [], 0, 0
 
@@ -437,16 +586,26 @@ def _questions(rows: DataFrame, sent) -> DataFrame:
                     s = int(shards[a])
                     out.append((s, turn % int(parts[s]) if parts is not None else 0, row0, rising(keys[a:b]), squeeze(of[a:b])))
 
-            keys = keys_of(classes, ends, end_class, first.classes)
-            blocks(keys, first.shard(keys), text, first.parts)
+            place = before(ends)
+            x = classes[place]
+            hot = np.full(len(x), True) if first.shared else (x > 0) & (classes > 0)
+            keys = (x[hot] * first.classes + classes[hot]).astype(np.uint64)
+            blocks(keys, first.shard(keys), text[hot], first.parts)
             rare = np.flatnonzero(classes == 0)
-            h = np.fromiter((xxhash.xxh64_intdigest(flat[k]) for k in rare), np.uint64, len(rare))
+            h = hashed([flat[k] for k in rare])
             blocks(h, cold_shard(h, first.cold), text[rare], None)
+            mixed = np.flatnonzero(~hot)
+            names = first.names[classes]
+            names[rare] = h
+            hx, hy = names[place[mixed]], names[mixed]
+            blocks(pair_names(hx, hy), cold_shard(np.where(classes[mixed] == 0, hy, hx), first.cold) - first.cold, text[mixed], None)
+            # Of a bigram with a cold word, what the hot one of the two gives; class 0 gives nothing here.
+            local = np.bincount(text[mixed], first.log_backoff[x[mixed]] + share[classes[mixed]], len(held))
             known = np.bincount(text, classes > 0, len(held)).astype(np.int64)
             sums = np.bincount(text, log_counts[classes], len(held))
             ids = np.array([d if d is not None else 0 for _, d, _ in held], np.int64)
             none = np.array([d is None for _, d, _ in held], np.uint8)
-            summed = ids.tobytes() + none.tobytes() + sizes.astype(np.int64).tobytes() + known.tobytes() + sums.tobytes()
+            summed = ids.tobytes() + none.tobytes() + sizes.astype(np.int64).tobytes() + known.tobytes() + sums.tobytes() + local.tobytes()
             out.append((SUMS - (row0 + turn) % 1009, 0, row0, summed, squeeze(row)))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "part", "first_row", "keys", "rows"])
 
@@ -470,7 +629,7 @@ def _by_text(rows: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Answers each block with a block of sums; kind 0: n-grams, 1: other words, 2: what needs no lookup."""
+    """Answers each block with a block of sums; kind 0: n-grams, 1: other words, 2: what needs no lookup, 3: n-grams with a cold word."""
     state: dict = {}
 
     def answer(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -486,14 +645,21 @@ def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
                 out.append((first_row, 2, rows, keys))
                 continue
             row, asked = unsqueeze(rows), unrising(keys)
-            if shard < 0:
-                n = np.zeros(len(asked), np.int64)
-                if contents:
-                    size = len(contents[0]) // 16
-                    have, counts = np.frombuffer(contents[0], np.uint64, size), np.frombuffer(contents[0], np.int64, size, 8 * size)
+            if shard < -first.cold:
+                gains = np.zeros(len(asked))
+                if contents and (size := len(contents[0]) // 10):
+                    have, codes = np.frombuffer(contents[0], np.uint64, size), np.frombuffer(contents[0], "<u2", size, 8 * size)
+                    at = np.minimum(np.searchsorted(have, asked), size - 1)
+                    gains = np.where(have[at] == asked, codes[at] / QUANTUM, 0.0)
+                out.append((first_row, 3, *_by_text(row, gains)))
+            elif shard < 0:
+                n, logs = np.zeros(len(asked), np.int64), np.zeros(len(asked))
+                if contents and (size := len(contents[0]) // 24):
+                    have, counts, backoff = (np.frombuffer(contents[0], t, size, 8 * size * k) for k, t in enumerate((np.uint64, np.int64, np.float64)))
                     at = np.minimum(np.searchsorted(have, asked), size - 1)
-                    n = np.where(have[at] == asked, counts[at], 0)
-                out.append((first_row, 1, *_by_text(row, n > 0, np.ones(len(n)), np.log10(n + 0.5))))
+                    there = have[at] == asked
+                    n, logs = np.where(there, counts[at], 0), np.where(there, backoff[at], 0.0)
+                out.append((first_row, 1, *_by_text(row, n > 0, np.ones(len(n)), np.log10(n + 0.5), logs)))
             else:
                 x, y = np.divmod(asked.astype(np.int64), first.classes)
                 logs = first.log_backoff[x] + state["share"][y]
@@ -511,14 +677,14 @@ def _add_up(key: tuple, blocks: pa.Table) -> pa.Table:
     texts = unsqueeze(rows[own]).astype(np.int64)
     n = len(texts)
     ids, none = np.frombuffer(sums[own], np.int64, n), np.frombuffer(sums[own], np.uint8, n, 8 * n).astype(bool)
-    sizes, known, log_counts = (np.frombuffer(sums[own], t, n, 9 * n + 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.float64)))
-    known, rare, log_rare, log_grams = known.astype(float), np.zeros(n), np.zeros(n), np.zeros(n)
+    sizes, known, log_counts, local = (np.frombuffer(sums[own], t, n, 9 * n + 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.float64, np.float64)))
+    known, rare, log_rare, log_grams = known.astype(float), np.zeros(n), np.zeros(n), local.copy()
     for kind, row, values in zip(kinds, rows, sums, strict=True):
         if kind == 2:
             continue
         at = np.searchsorted(texts, unrising(row).astype(np.int64))
         columns = np.frombuffer(values, np.float64).reshape(-1, len(at))
-        for total, column in zip((log_grams,) if kind == 0 else (known, rare, log_rare), columns, strict=True):
+        for total, column in zip((known, rare, log_rare, log_grams) if kind == 1 else (log_grams,), columns, strict=True):
             total[at] += column  # a block names a text once
     return pa.table({
         "doc_id": pa.array(ids, mask=none), "n_tokens": sizes, "n_known": known.astype(np.int64), "log_counts": log_counts,

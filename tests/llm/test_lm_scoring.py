@@ -91,3 +91,20 @@ def test_empty_tables_and_no_training_rows(spark):
     held = [d for d in range(40) if zlib.crc32(str(d).encode()) % 5 == 1][:2]
     got = lm.score(spark.createDataFrame([(d, "a b") for d in held], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)] * 2 and all(abs(r.base_score) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("hot", [0, 1, 7, 40])
+def test_words_beyond_those_sent_to_all_tasks_keep_their_bigrams(spark, monkeypatch, hot):
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(90)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(120)] + [(500, None), (501, ""), (None, "w1 zz w2"), (3, "w1"), (3, "w1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "HOT", hot, raising=False)
+    monkeypatch.setattr(lm, "SHARD_USES", 300)
+    monkeypatch.setattr(lm, "FLUSH_TOKENS", 200)
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(df).collect())
+    monkeypatch.setattr(lm, "VOCABULARY", 1 << 30)  # brute force with all words apart
+    want = brute(docs)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], atol=1e-9)
+    assert all(abs(g[6] - w[6]) <= g[2] / lm.QUANTUM for g, w in zip(got, want))
