@@ -5,7 +5,7 @@ disguise, transducers rewrite it (look-alike characters, spelled-out digits, "at
 and "dot" for @ and .), each keeping for every character it writes the source
 characters it stands for. The same detectors then run on the rewritten text, and
 what they find is mapped back and added unless it overlaps a plain identifier of
-its kind.
+its kind without holding all of it and more; plain identifiers always stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -188,11 +188,13 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
         every = {}
         for kind, finder in FINDERS.items():
             own = list(plain[kind])
-            starts = [a for a, _ in own]
+            starts, ends = [a for a, _ in own], [b for _, b in own]
             for a, b in finder(r.text):
                 a, b = r.start[a], r.end[b - 1]
                 k = bisect_left(starts, b)
-                if not (k and plain[kind][k - 1][1] > a) and not (own[len(starts) :] and own[-1][1] > a):
+                j = bisect_right(ends, a)  # plain spans j to k overlap this one
+                whole = j >= k or (a <= starts[j] and ends[k - 1] <= b and (a, b) != plain[kind][j])
+                if whole and not (own[len(starts) :] and own[-1][1] > a):
                     own.append((a, b))
             every[kind] = own
     order = {kind: k for k, kind in enumerate(KINDS)}

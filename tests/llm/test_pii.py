@@ -78,3 +78,11 @@ def test_query_rows(spark):
     none = hashlib.sha256(b"").hexdigest()
     assert sorted((str(r.doc_id), r.n_email, r.base_sha256 == none, r.n_spans) for r in got) == [("1", 0, True, 0), ("2", 0, True, 0), ("3", 0, True, 1), ("3", 0, True, 1), ("None", 1, False, 1)]
     assert pii.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_look_alike_in_one_part_keeps_the_whole_address():
+    for text in ["jаne@example.com", "to jane@example.cоm.", "jane@exаmple.com jane@x.org"]:
+        whole = re.search(r"\S+@\S+?\.c[oо]m", text).span()
+        plain, every = pii.find(text)
+        assert (*whole, "email") in every and set(plain) <= set(every) and len(every) == len(set(every)), (text, every)
+        assert plain == brute(text)
