@@ -100,8 +100,16 @@ _OPEN, _SHUT = r"[\[({<]\x20{0,2}", r"\x20{0,2}[\])}>]"
 _AT_SIGN = re.compile(rf"[\x20_-]{{0,2}}{_OPEN}at{_SHUT}[\x20_-]{{0,2}}", re.I)
 _DOT_SIGN = re.compile(rf"[\x20_-]{{0,2}}{_OPEN}(?:dot|punkt|point|punto){_SHUT}[\x20_-]{{0,2}}", re.I)
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|punkt|point|punto){_SHUT}", re.I)
-#: name at host dot end, with the words themselves.
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9%+-]{1,64}(?:(?:\.|\x20dot\x20)[A-Za-z0-9%+-]{1,64}){0,4})\x20at\x20([A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])", re.I)
+#: Stands for a bracketed dot until "at" has been read: "at" counts only before a disguised dot.
+_DOT = "\ufdd0"
+_HOST, _ANY_DOT = r"[A-Za-z0-9-]{1,63}", rf"(?:\.|{_DOT}|\x20dot\x20)"
+#: name at host dot end, words and signs in any mix.
+_SPOKEN = re.compile(
+    rf"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:@|\x20at\x20(?=[A-Za-z0-9.-]{{1,255}}(?:{_DOT}|\x20dot\x20))){_HOST}(?:{_ANY_DOT}{_HOST}){{1,4}}(?![A-Za-z0-9-])", re.I
+)
+_SIGNS = re.compile(r"\x20(at|dot)\x20", re.I)
+_LETTERS = re.compile("[a-z]+")
+_DOT_MARK = re.compile(_DOT)
 _NAME = "(?:" + "|".join(DIGITS) + ")"
 #: At least three digit words; "plus" may come first, "dot", "point" or "dash" between.
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20-])?{_NAME}(?:[\x20,-]{{1,2}}(?:(?:dot|point|dash)[\x20-])?{_NAME}){{2,}}(?![A-Za-z])", re.I)
@@ -153,7 +161,7 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
 def _spoken(m: re.Match) -> list[tuple[str, int, int]]:
     """name at host dot end: the words become signs, the rest stays character by character."""
     out, k, text = [], 0, m.group()
-    for w in re.finditer(r"\x20(at|dot)\x20", text, re.I):
+    for w in _SIGNS.finditer(text):
         out += [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(text[k : w.start()], k)]
         out.append(("@" if w.group(1).lower() == "at" else ".", m.start() + w.start(), m.start() + w.end()))
         k = w.end()
@@ -166,16 +174,17 @@ def disguised(text: str) -> bool:
         return True
     if _BRACKETED.search(text) or _HYPHENED.search(text):
         return True
-    words = set(text.lower().split())
-    return ("dot" in words and "at" in words) or len({w.strip(".,;:!?-\"'()") for w in words} & _WORDS) > 0
+    words = set(_LETTERS.findall(text.lower()))
+    return ("dot" in words and ("at" in words or "@" in text)) or not words.isdisjoint(_WORDS)
 
 
 def rewrite(text: str) -> Rewritten:
     r = Rewritten(text)
     r.apply(_ODD, _plain_char)
     r.apply(_AT_SIGN, lambda m: [("@", *m.span())])
-    r.apply(_DOT_SIGN, lambda m: [(".", *m.span())])
+    r.apply(_DOT_SIGN, lambda m: [(_DOT, *m.span())])
     r.apply(_SPOKEN, _spoken)
+    r.apply(_DOT_MARK, lambda m: [(".", *m.span())])
     r.apply(_SPELLED, _digits)
     return r
 

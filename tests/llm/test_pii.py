@@ -86,3 +86,10 @@ def test_a_look_alike_in_one_part_keeps_the_whole_address():
         plain, every = pii.find(text)
         assert (*whole, "email") in every and set(plain) <= set(every) and len(every) == len(set(every)), (text, every)
         assert plain == brute(text)
+
+
+def test_mixed_signs_and_comma_joined_digits_are_found():
+    for text in ["john [at] example dot com", "john at example [dot] com", "john@example dot com", "john dot doe (at) mail.example dot org"]:
+        assert (0, len(text), "email") in pii.find(text)[1], (text, pii.find(text))
+    text = "four" + ",one" * 15
+    assert pii.find(text)[1] == [(0, len(text), "card")]
