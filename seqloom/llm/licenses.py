@@ -1,9 +1,8 @@
 """Licence scan by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences, each is normalised to lower-case words, and known
+Every text is cut into sentences, each is normalised to lower-case words, and known
 licence sentences become identifiers; the identifiers in text order are matched
-against ordered rules. Texts that hold none of the words every known sentence
-has one of can't match and skip the cutting.
+against ordered rules.
 """
 
 from __future__ import annotations
@@ -94,8 +93,8 @@ RULES = [
     ("all-rights-reserved", ["reserved"]),
 ]
 GAP = 2
-#: A text that holds none of these, lower-cased, holds no known sentence; checked for the tables when the module loads.
-ANCHORS = ["licens", "released", "distributed", "available", "published", "reserved", "permission", "redistribut", "license", "public domain", "free software", "copyright notice"]
+#: Every known sentence has a word that holds one of these; checked for the tables when the module loads.
+STEMS = ["licens", "licenc", "released", "distributed", "available", "published", "reserved", "permission", "redistribut", "software", "public", "copyright"]
 
 
 def known_sentences() -> list[tuple[str, int]]:
@@ -108,7 +107,7 @@ def known_sentences() -> list[tuple[str, int]]:
 
 
 KNOWN = known_sentences()
-assert all(any(a in text for a in ANCHORS) for text, _ in KNOWN)
+assert all(any(a in text for a in STEMS) for text, _ in KNOWN) and not any(" " in a for a in STEMS)
 assert len({text for text, _ in KNOWN}) == len(KNOWN)
 
 
@@ -119,37 +118,42 @@ def rule_patterns() -> list[tuple[str, str]]:
     return [(licence, "," + f",([0-9]+,){{0,{GAP}}}".join(str(ids[s]) for s in own) + ",") for licence, own in RULES]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order. They end at . ! or ? before white space, at a blank line, and before a line that starts with A-Z."""
+def pieces(text: Column) -> Column:
+    """Sentences as they stand, with empty ones. They end at . ! or ? before white space, at a blank line, and before a line that starts with A-Z."""
     marked = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\x01")
-    marked = F.regexp_replace(marked, r"\n[ \t\r]*([A-Z\n])", "\x01$1")
-    lower = F.translate(marked, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.split(lower, "\x01", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    return F.split(F.regexp_replace(marked, r"\n[ \t\r]*([A-Z\n])", "\x01$1"), "\x01", -1)
+
+
+def normalised(piece: Column) -> Column:
+    """Lower-case words with one space between; what the first step leaves is ASCII, so lower() changes A-Z alone."""
+    return F.trim(F.lower(F.regexp_replace(piece, "[^A-Za-z0-9]+", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_known, sentence_ids, licences, first_licence.
 
-    n_sentences counts non-empty sentences (0 where no anchor word occurs),
-    n_known those that are licence sentences. sentence_ids are the identifiers in
-    order, comma-joined, without the other sentences. licences are the names whose
-    rules match, sorted and comma-joined; first_licence is that of the first rule
-    that matches, null if none does. Null and empty texts have no sentences;
-    repeated rows are scanned each; empty tables give no rows.
+    n_sentences counts the non-empty sentences of every text, n_known those that
+    are licence sentences. sentence_ids are the identifiers in order,
+    comma-joined, without the other sentences. licences are the names whose rules
+    match, sorted and comma-joined; first_licence is that of the first rule that
+    matches, null if none does. Null and empty texts have no sentences; repeated
+    rows are scanned each; empty tables give no rows.
     """
-    text = text_or_empty()
-    # lower() is much faster than translate() and finds the same anchors, which are ASCII.
-    may = F.exists(F.transform(F.array(F.lower(text)), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(a)) for a in ANCHORS))), lambda found: found)
     known = F.create_map(*(F.lit(x) for pair in KNOWN for x in pair))
-    none = F.array().cast("array<string>")
-    cut = docs.select("doc_id", F.when(may, F.filter(sentences(text), lambda s: s != "")).otherwise(none).alias("cut"))
-    coded = cut.select("doc_id", F.transform("cut", lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0))).alias("ids"))
+    wordings = [text for text, _ in KNOWN]
+    text = text_or_empty()
+    # A word stands in the text as it does in the sentence but for case, so without any of STEMS no sentence is known.
+    may = F.exists(F.transform(F.array(F.lower(text)), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(a)) for a in STEMS))), lambda found: found)
+    cut = docs.select("doc_id", may.alias("may"), F.filter(pieces(text), lambda s: s.rlike("[A-Za-z0-9]")).alias("cut"))
+    # Membership is a hash lookup; only a known sentence is searched for in the map.
+    coded = F.transform(F.transform("cut", normalised), lambda s: F.when(s.isin(wordings), F.try_element_at(known, s)).otherwise(F.lit(0)))
+    coded = cut.select("doc_id", F.size("cut").cast("bigint").alias("n_sentences"), F.when(F.col("may"), coded).otherwise(F.array().cast("array<int>")).alias("ids"))
     line = F.when(F.exists("ids", lambda i: i > 0), F.concat(F.lit(","), F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit(","))).otherwise("")
-    coded = coded.select("doc_id", "ids", line.alias("line"))
+    coded = coded.select("doc_id", "n_sentences", "ids", line.alias("line"))
     matched = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.lit(licence)) for licence, p in rule_patterns())))
-    return coded.select("doc_id", "ids", matched.alias("matched")).select(
+    return coded.select("doc_id", "n_sentences", "ids", F.when(F.col("line") != "", matched).otherwise(F.array().cast("array<string>")).alias("matched")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.size("ids").cast("bigint").alias("n_sentences"),
+        "n_sentences",
         F.size(F.filter("ids", lambda i: i > 0)).cast("bigint").alias("n_known"),
         F.array_join(F.transform(F.filter("ids", lambda i: i > 0), lambda i: i.cast("string")), ",").alias("sentence_ids"),
         F.array_join(F.array_sort(F.array_distinct("matched")), ",").alias("licences"),
@@ -161,12 +165,11 @@ def oracle_sql() -> str:
     """The same scan for DuckDB."""
     known = ", ".join(f"('{t}', {i})" for t, i in KNOWN)
     cases = ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN '{licence}' END" for licence, p in rule_patterns())
-    may = " OR ".join(f"contains(lower_text, '{a}')" for a in ANCHORS)
     abc = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), {abc}) AS lower_text FROM documents),
-marked AS (SELECT r, regexp_replace(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*([A-Z\\n])', chr(1) || '\\1', 'g') AS text FROM rows WHERE {may}),
+rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (SELECT r, regexp_replace(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*([A-Z\\n])', chr(1) || '\\1', 'g') AS text FROM rows),
 cut AS (SELECT r, unnest(string_split(translate(text, {abc}), chr(1))) AS raw, generate_subscripts(string_split(translate(text, {abc}), chr(1)), 1) AS pos FROM marked),
 named AS (SELECT r, pos, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut),
 coded AS (SELECT r, count(*) AS n, list(coalesce(id, 0) ORDER BY pos) AS ids FROM named LEFT JOIN known USING (sentence) WHERE sentence <> '' GROUP BY r),
