@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import decontamination, exact_dedup, licenses, lm_scoring, packing, pii, quality, simhash, token_counts, warc
 from seqloom.llm.common import table
+from seqloom.runtime import shared_dir
 
 
 def tokenizer_file(name: str) -> Callable[[], str]:
@@ -60,7 +62,10 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # One index for each input, there for as long as the application's shared folder: the query again meets its own batch.
+    name = f"digest_index_{hashlib.sha256(repr((sf_dir, sorted(docs.inputFiles()))).encode()).hexdigest()[:16]}"
+    found = exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/{name}", name))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

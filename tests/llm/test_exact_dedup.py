@@ -61,14 +61,50 @@ def test_new_data_meets_the_index(spark):
     assert [r.kept for r in d.deduplicate(again, index).collect()] == [False]
 
 
-def test_index_side_is_neither_shuffled_nor_sorted_again(spark):
+def test_a_lost_job_can_run_again(spark):
+    index = d.DigestIndex(spark, Scratch(spark, "test").path("index"), buckets=3)
+    rows = [(1, "a", ""), (2, "b", ""), (3, "a", "")]
+    once = got(d.deduplicate(frame(spark, rows), index))
+    assert got(d.deduplicate(frame(spark, rows), index)) == once and sum(r[3] for r in once) == 2
+    assert index.table().count() == 2
+    named = [(4, "a", ""), (5, "c", "")]
+    for _ in range(2):
+        assert sorted((r.doc_id, r.keep_id, r.kept) for r in d.deduplicate(frame(spark, named), index, "second").collect()) == [(4, 3, False), (5, 5, True)]
+    assert index.table().count() == 3
+    index.drop()
+    assert not index.exists()
+
+
+def test_an_index_of_an_earlier_run_is_found_again(spark):
+    path = Scratch(spark, "test").path("index")
+    d.deduplicate(frame(spark, [(1, "a", "")]), d.DigestIndex(spark, path, "kept_index", buckets=3)).collect()
+    later = d.DigestIndex(spark, path, "kept_index")
+    assert [r.kept for r in d.deduplicate(frame(spark, [(2, "a", ""), (3, "z", "")]), later).orderBy("doc_id").collect()] == [False, True]
+    assert later.buckets == 3
+    later.drop()
+
+
+def test_buckets_grow_with_the_digests(spark, monkeypatch):
+    monkeypatch.setattr(d, "BUCKET_ROWS", 5)
+    index = d.DigestIndex(spark, Scratch(spark, "test").path("index"))
+    d.deduplicate(frame(spark, rows()), index)
+    assert index.buckets == -(-len({t or "" for _, t, _ in rows()}) // 5)
+
+
+def test_index_side_is_not_shuffled(spark):
     index = d.DigestIndex(spark, Scratch(spark, "test").path("index"), buckets=4)
     d.deduplicate(frame(spark, rows()), index)
     batch = d.digests(frame(spark, rows())).groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-    plan = index.new_only(batch)._jdf.queryExecution().executedPlan().toString()
+    plan = index.new_only(batch, "other")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_columns_of_any_type_pass_where_rows_repeat(spark):
+    df = spark.sql("SELECT * FROM VALUES (1L, NULL, map('a', 1), 'x'), (1L, '', map('b', 2), 'y'), (1L, '', map('a', 1), 'x'), (2L, 'z', map('c', 3), 'w') AS t(doc_id, text, m, `odd.name`)")
+    kept = d.drop_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (2, "z")]
+
+
 def test_filter_keeps_one_of_each(spark):
     data = rows()
     df = frame(spark, data)
