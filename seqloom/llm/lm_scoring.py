@@ -1,39 +1,32 @@
 """N-gram language-model scores from an Elias-Fano trie in shards.
 
-The model is a bigram model with interpolated absolute discounting over words:
-every training word is a context and a successor of its own. Where VOCABULARY is
-set, it is one over word classes instead: each of the most frequent words is a class
-of its own, all others share one, and a rare word's probability is that of the shared
-class times the word's share in it by add-half counts.
-
-First trie level: the most frequent words (HOT at most) in order of frequency with
-their log-probabilities and backoff weights (bounded, sent to all tasks). All other
-words are cold: they are named by a 64-bit hash, and their counts and backoff weights
-lie in shards by that hash. A bigram with a cold word is named by a hash of both
-names and lies in the shard of its successor if that is cold, else of its context;
-it holds what the bigram adds to backoff weight times unigram probability, so that a
-text's score is a sum of what the shards answer. Which words are hot changes the cost
-only, not the scores.
-
-Second level, for bigrams of hot words: for each context its
-successors. The level is one monotone sequence, context times number of classes
-plus successor, in Elias-Fano form beside quantised log-probabilities, cut into
-shards by ranges of about equal use. Within a context, a successor is searched
-by its value relative to the context's start. A shard is one flat buffer that is
-used where it lies, whether it comes in a row or from a mapped file. Texts are
-read once to score: their n-grams go to the shards in compact blocks, and a
-block of sums comes back for each.
+The model is a trigram model by interpolated absolute discounting over whole words;
+below the bigrams stand add-half unigram probabilities. Every training word is a
+context and a successor of its own, whatever the size of the corpus.
+
+Texts are read and cut once. A block of texts names its distinct words by 64-bit
+hashes; shards of the first level count them over all blocks and number them, the
+frequent ones low. The block then asks the trie for its distinct bigrams and
+trigrams, with how often each occurs in training texts. A shard of the trie holds
+some first words with all bigrams and trigrams that begin with them: it adds up what
+all blocks say, builds its levels (elias_fano.TrieShard) and answers every block
+with quantised probabilities and backoff weights, from which the block sums up its
+texts' scores.
+
+Shards are meant for SHARD_USES n-gram uses, so their number follows the corpus. A
+word with over SPLIT uses has its bigrams dealt to several shards by the second
+word; a bigram with over SPLIT uses has its trigrams dealt by the third. Such shards
+hold counts instead of probabilities, since only all of a context's shards together
+know its total; the totals, at most 2 * tokens / SPLIT rows, go to the tasks that sum
+up. A block sends a shard one row at most, so rows are never more than n-grams.
 """
 
 from __future__ import annotations
 
 import math
-import mmap
 import struct
-from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import map_batches
+from seqloom.llm.elias_fano import EliasFano, TrieShard
 from seqloom.runtime import Scratch, ship_package
 
-#: If set, classes at most, beside the one that all other words then share. None: every word is a class of its own.
-VOCABULARY: int | None = None
-#: Words at most that are sent to every task, about 12 MB; all others are looked up in shards.
-HOT = 1 << 17
 DISCOUNT = 0.75
-#: Log-probabilities are kept in steps of 1/QUANTUM of a decimal place, in 16 bits.
+#: Logarithms are kept in steps of 1/QUANTUM of a decimal place, in 16 bits.
 QUANTUM = 4096
-#: N-gram occurrences for which a shard is meant, and tokens that a task holds before it sends blocks.
-SHARD_USES, FLUSH_TOKENS = 2_000_000, 600_000
-#: Distinct words that a task counts before it passes them on.
-FLUSH_WORDS = 300_000
+#: N-gram uses that a shard is meant for, uses from which a context is split, and tokens that a task holds before it sends a block.
+SHARD_USES, SPLIT, FLUSH_TOKENS = 2_000_000, 500_000, 600_000
 END = b""
+#: Bits of a word's number, and of a context's place within a shard.
+WORD_BITS = 40
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -91,625 +81,493 @@ def unrising(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data), dtype=np.uint64)
 
 
-class EliasFano:
-    """Strictly ascending numbers: low bytes as they are, high parts in unary, both parts of one buffer.
+def bundle(*parts: bytes) -> bytes:
+    return struct.pack(f"<I{len(parts)}I", len(parts), *map(len, parts)) + b"".join(parts)
 
-    Of a number's bits the low 8 or 16 stand in an array; the rest, the bucket,
-    is coded as one bit for each number and one gap for each bucket.
-    """
-
-    def __init__(self, buffer, at: int):
-        self.first, self.n, self.low_bits, n_high = struct.unpack_from("<QQQQ", buffer, at)
-        at += 32
-        self.low = np.frombuffer(buffer, np.uint8 if self.low_bits == 8 else np.dtype("<u2"), self.n, at)
-        at += self.n * self.low_bits // 8
-        bits = np.unpackbits(np.frombuffer(buffer, np.uint8, n_high, at), bitorder="little")
-        zeros = np.flatnonzero(bits == 0)[: self._buckets(n_high, bits)]
-        #: Where each bucket's numbers start: the k-th gap stands behind the numbers of buckets before it.
-        self.start = np.r_[0, zeros - np.arange(len(zeros))].astype(np.int64)
-        self.end = at + n_high
-
-    def _buckets(self, n_high: int, bits: np.ndarray) -> int:
-        return int(len(bits) - self.n)
-
-    @staticmethod
-    def build(values: np.ndarray) -> bytes:
-        first = int(values[0])
-        own = values.astype(np.uint64) - np.uint64(first)
-        low_bits = 8 if int(own[-1]) >> 8 <= 16 * len(own) else 16
-        high = (own >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(len(own) + int(high[-1]) + 1, np.uint8)
-        bits[high + np.arange(len(own))] = 1
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        low = (own & np.uint64((1 << low_bits) - 1)).astype(np.uint8 if low_bits == 8 else "<u2")
-        return struct.pack("<QQQQ", first, len(own), low_bits, len(packed)) + low.tobytes() + packed
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Position of each wanted number, -1 where it is missing."""
-        below = wanted < np.uint64(self.first)
-        rest = np.where(below, np.uint64(0), wanted - np.uint64(self.first))
-        bucket = (rest >> np.uint64(self.low_bits)).astype(np.int64)
-        beyond = below | (bucket >= len(self.start) - 1)
-        bucket[beyond] = 0
-        low = (rest & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
-        lo, hi = self.start[bucket], self.start[bucket + 1]
-        end = hi.copy()
-        while True:  # the search within each bucket, all at once
-            going = np.flatnonzero(lo < hi)
-            if not len(going):
-                break
-            mid = (lo[going] + hi[going]) // 2
-            less = self.low[mid] < low[going]
-            lo[going] = np.where(less, mid + 1, lo[going])
-            hi[going] = np.where(less, hi[going], mid)
-        at = np.minimum(lo, max(0, self.n - 1))
-        return np.where(~beyond & (lo < end) & (self.low[at] == low), lo, -1)
-
-
-class TrieShard:
-    """A range of the second level: n-gram keys in Elias-Fano form and their quantised log-probabilities."""
-
-    def __init__(self, buffer):
-        self.keys = EliasFano(buffer, 0)
-        self.codes = np.frombuffer(buffer, "<u2", self.keys.n, self.keys.end)
-
-    @classmethod
-    def map(cls, path: str) -> TrieShard:
-        """A shard in a file, mapped into memory and not read."""
-        with open(path, "rb") as f:
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
-    @staticmethod
-    def build(keys: np.ndarray, log_probabilities: np.ndarray) -> bytes:
-        return EliasFano.build(keys) + np.clip(np.rint(-log_probabilities * QUANTUM), 0, 65535).astype("<u2").tobytes()
-
-    def log_probabilities(self, keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-        at = self.keys.find(keys)
-        return np.where(at >= 0, self.codes[np.maximum(at, 0)] / -QUANTUM, otherwise)
 
-
-@dataclass
-class First:
-    """The first level and what it takes to score: bounded by HOT or VOCABULARY."""
-
-    words: dict[bytes, int]  # to the class, from 1 in order of frequency; 0 stands for all other words
-    counts: np.ndarray  # training count of each class
-    total: int  # training tokens
-    distinct: int  # distinct training tokens
-    starts: np.ndarray  # first key of each shard
-    cold: int  # shards of the other words' counts, and of their bigrams
-    shared: bool  # whether the other words are one class
-    names: np.ndarray  # 64-bit hash of each class's word
-    kinds: np.ndarray | None = None  # distinct successors of each class
-    log_backoff: np.ndarray | None = None
-    parts: np.ndarray | None = None  # tasks that share a shard's queries
-
-    @property
-    def classes(self) -> int:
-        return len(self.counts)
-
-    @property
-    def mass(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
-
-    def log_share(self) -> np.ndarray:
-        """Log-probability of each class by add-half counts; a shared class has what the others leave."""
-        own = (self.counts + 0.5) / self.mass
-        own[0] = max(1 - own[1:].sum(), 0.5 / self.mass) if self.shared else 1.0
-        return np.log10(own)
-
-    def named(self, names: np.ndarray) -> np.ndarray:
-        """The class of each name, 0 for cold words."""
-        if self.classes == 1:
-            return np.zeros(len(names), np.int64)
-        order = np.argsort(self.names[1:]) + 1
-        at = np.minimum(np.searchsorted(self.names[order], names), len(order) - 1)
-        return np.where(self.names[order[at]] == names, order[at], 0)
-
-    def shard(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, keys, "right") - 1
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n): how often each token occurs in the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-                if len(counts) >= FLUSH_WORDS:
-                    yield flush()
-        if counts:
-            yield flush()
-
-    ship_package(train.sparkSession)
-    return train.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def ranges(counts: np.ndarray, total: int) -> np.ndarray:
-    """First keys of shards with about SHARD_USES uses each, if successors didn't depend on contexts.
-
-    A context with few uses shares a shard with its neighbours, one with many is
-    cut where its successors' uses add up.
-    """
-    classes, per = len(counts), SHARD_USES
-    rising_share = np.cumsum(counts) / max(1, counts.sum())
-    starts, held = [0], 0
-    for x, n in enumerate(counts.tolist()):
-        if n > per:
-            cuts = np.searchsorted(rising_share, np.arange(0, 1, 1 / math.ceil(n / per)), "right")
-            starts += [x * classes + int(y) for y in np.unique(cuts)]
-            starts.append((x + 1) * classes)
-            held = 0
-        elif held + n > per:
-            starts.append(x * classes)
-            held = n
-        else:
-            held += n
-    found = np.unique(np.array(starts, dtype=np.uint64))
-    return found[found < np.uint64(classes * classes)] if classes > 1 else np.zeros(1, np.uint64)
-
-
-def coded(own: list[bytes], words: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(words.get, own, repeat(0)), np.int64, len(own))
+def unbundle(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    ends = 4 + 4 * n + np.cumsum((0, *struct.unpack_from(f"<{n}I", data, 4)))
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def before(ends: np.ndarray) -> np.ndarray:
-    """Place of the token before each token; before a text stands its own end. ends: where each text's tokens end."""
-    places = np.arange(ends[-1]) - 1
-    places[np.r_[0, ends[:-1]]] = ends - 1
-    return places
-
-
-def pair_names(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """64-bit names of bigrams from their words' names."""
-    z = x * np.uint64(0x9E3779B97F4A7C15) + y
-    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return z ^ (z >> np.uint64(32))
-
-
 def runs_of(*columns: np.ndarray) -> np.ndarray:
-    """Where each run of equal rows starts."""
+    """Where each run of equal rows starts, and where the last one ends."""
     if not len(columns[0]):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+        return np.zeros(1, np.int64)
+    return np.r_[0, np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1, len(columns[0])]
 
 
-def spans(*columns: np.ndarray) -> zip:
-    """Start and end of each run of equal rows."""
-    at = runs_of(*columns)
-    return zip(at, np.r_[at[1:], len(columns[0])][: len(at)], strict=True)
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers spread over 32 bits."""
+    z = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (z >> np.uint64(32)).astype(np.int64)
 
 
-_GRAMS = "shard bigint, keys binary, others binary, counts binary"
+# ---------------------------------------------------------------- blocks of texts, and the first level
 
+_WORDS = "block bigint, shard int, a binary, b binary"
 
-def gram_counts(train: DataFrame, first: First, sent) -> DataFrame:
-    """(shard, keys, others, counts): blocks of distinct bigrams, ascending, with how often each occurs.
 
-    Shards from 0 on: keys of hot bigrams. Below 0: names of contexts (keys) and of
-    successors (others), in the shard of a cold context, or below -cold in that of
-    the successor if the context is hot.
+def cut_blocks(docs: DataFrame, bits: int, most: int) -> DataFrame:
+    """(block, shard, a, b): of each block its texts (shard -1: a) and for each of 2^bits shards its words: a: hashes, b: training counts.
+
+    A block is cut once it holds about `most` tokens. Within it a word is known by its
+    place among the block's sorted hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: First = sent.value
-        held, n = [], 0
+        held: list[tuple] = []
+        n = 0
 
         def flush() -> pa.RecordBatch:
-            texts = [tokens(text) for text in held]
-            ends = np.cumsum([len(t) for t in texts])
-            own = [t for ts in texts for t in ts]
-            y = coded(own, top.words)
-            place = before(ends)
-            x = y[place]
-            hot = np.full(len(y), True) if top.shared else (x > 0) & (y > 0)
-            keys, counts = np.unique((x[hot] * top.classes + y[hot]).astype(np.uint64), return_counts=True)
-            shards, out = top.shard(keys), []
-            for a, b in spans(shards):
-                out.append((int(shards[a]), rising(keys[a:b]), None, squeeze(counts[a:b])))
-            mixed = np.flatnonzero(~hot)
-            if len(mixed):
-                names, rare = top.names[y], np.flatnonzero(y == 0)
-                names[rare] = hashed([own[k] for k in rare])
-                hx, hy = names[place[mixed]], names[mixed]
-                shards = np.where(x[mixed] == 0, cold_shard(hx, top.cold), cold_shard(hy, top.cold) - top.cold)
-                order = np.lexsort((hy, hx, shards))
-                hx, hy, shards = hx[order], hy[order], shards[order]
-                at = runs_of(shards, hx, hy)
-                counts = np.diff(np.r_[at, len(hx)])
-                hx, hy, shards = hx[at], hy[at], shards[at]
-                for a, b in spans(shards):
-                    out.append((int(shards[a]), rising(hx[a:b]), squeeze(hy[a:b]), squeeze(counts[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "others", "counts"])
+            own = [tokens(t) for _, _, _, t in held]
+            sizes = np.array([len(t) for t in own])
+            flat = [t for ts in own for t in ts]
+            names = list(dict.fromkeys(flat))
+            hashes = hashed(names)
+            order = np.argsort(hashes, kind="stable")
+            place = dict(zip([names[k] for k in order], range(len(names))))
+            at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+            hashes = hashes[order]
+            out_of = np.array([h for _, _, h, _ in held])
+            counts = np.bincount(at[~np.repeat(out_of, sizes)], minlength=len(names))
+            ids = np.array([d if d is not None else 0 for _, d, _, _ in held], np.int64)
+            none = np.array([d is None for _, d, _, _ in held], np.uint8)
+            content = bundle(ids.tobytes(), none.tobytes(), out_of.astype(np.uint8).tobytes(), squeeze(sizes), squeeze(at))
+            rows = [(-1, content, None)]
+            shards = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+            cuts = runs_of(shards)
+            rows += [(int(shards[a]), rising(hashes[a:b]), squeeze(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
+            s, a, b = zip(*rows, strict=True)
+            block = held[0][0]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["block", "shard", "a", "b"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(text)
-                n += len(text or "") // 5 + 1
-                if n >= FLUSH_TOKENS:
+            for item in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held", "text")), strict=True):
+                held.append(item)
+                n += len(item[3] or "") // 5 + 1
+                if n >= most:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
-    return train.select("text").mapInArrow(run, _GRAMS)
-
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, _WORDS)
 
-def merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    keys = np.concatenate([unrising(b) for b in blocks.column("keys").to_pylist()])
-    counts = np.concatenate([unsqueeze(b) for b in blocks.column("counts").to_pylist()])
-    others = blocks.column("others").to_pylist()
-    if others[0] is None:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        at = runs_of(keys)
-        return keys[at], np.add.reduceat(counts, at), None
-    other = np.concatenate([unsqueeze(b) for b in others])
-    order = np.lexsort((other, keys))
-    keys, counts, other = keys[order], counts[order], other[order]
-    at = runs_of(keys, other)
-    return keys[at], np.add.reduceat(counts, at), other[at]
 
+#: Kinds of rows that the shards of the first level give: an answer to a block, the level itself, and what the driver needs.
+ANSWER, LEVEL, TOTALS = 0, 1, 2
+_COUNTED = "kind int, block bigint, shard int, a binary, b binary"
 
-#: Words are cut off between steps of 1/STEPS in the natural logarithm of their counts.
-STEPS = 64
 
+def count_words(bits: int, split: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Adds up a shard's words over all blocks and numbers those seen in training: from 1, by rank within the shard, so frequent ones are low."""
 
-def frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent words, VOCABULARY or HOT at most: all above a cut that a histogram of counts gives.
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        hashes = [unrising(a) for a in rows.column("a").to_pylist()]
+        counts = np.concatenate([unsqueeze(b) for b in rows.column("b").to_pylist()]).astype(np.int64)
+        own, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.bincount(back, counts, len(own)).astype(np.int64)
+        order = np.lexsort((own, -n))[: int((n > 0).sum())]
+        numbers = np.zeros(len(own), np.int64)
+        numbers[order] = 1 + (np.arange(len(order)) << bits) + shard
+        out, start = [], 0
+        for block, h in zip(rows.column("block").to_pylist(), hashes, strict=True):
+            at = back[start : start + len(h)]
+            start += len(h)
+            out.append((ANSWER, block, squeeze(numbers[at]), squeeze(n[at])))
+        seen = n > 0
+        out.append((LEVEL, None, EliasFano.build(own[seen]), bundle(squeeze(numbers[seen]), squeeze(n[seen]))))
+        hot = n > split
+        out.append((TOTALS, None, np.array([n.sum(), seen.sum()], np.int64).tobytes(), np.r_[numbers[hot], n[hot]].astype(np.int64).tobytes()))
+        kind, block, a, b = zip(*out, strict=True)
+        return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    A sort with a limit would send that many rows from every task to the driver.
-    """
-    step = F.floor(F.ln("n") * STEPS)
-    steps = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    cut, taken = math.inf, 0
-    for at, words in steps:
-        taken += words
-        if taken > (HOT if VOCABULARY is None else VOCABULARY):
-            break
-        cut = at
-    return counts.filter(step >= int(cut)) if steps and cut != math.inf else counts.limit(0)
+    return count
 
 
-@dataclass
-class Model:
-    """first: sent to every task. table: (shard, content), tries from 0 on, other words below 0 and their bigrams below -cold."""
+# ---------------------------------------------------------------- blocks in numbers, and what they ask
 
-    first: First
-    table: DataFrame
+_none = lambda: np.zeros(0, np.int64)
 
 
-def train_model(docs: DataFrame) -> Model:
-    """Fit on the texts of docs, all of them and all their tokens."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "language-model")
-    train = docs.select(F.col("text").cast("string").alias("text"))
-    counts = scratch.keep(word_counts(train), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = frequent(counts).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")  # VOCABULARY or HOT rows at most
-    own = top.n.to_numpy(dtype=np.int64)
-    words = {bytes(w): k + 1 for k, w in enumerate(top.word)}
-    of_class = np.r_[total - own.sum(), own].astype(np.int64)
-    shared, names = VOCABULARY is not None, np.r_[np.zeros(1, np.uint64), hashed(list(words))]
-    # A cold word's use makes two bigrams and one lookup of the word.
-    cold = max(1, -(-int(of_class[0]) * (1 if shared else 4) // SHARD_USES))
-    first = First(words, of_class, int(total), int(distinct), ranges(of_class, total), cold, shared, names)
-    sent = spark.sparkContext.broadcast(first)
-
-    # Counts are merged shard by shard; a shard's blocks are few bytes for each distinct n-gram.
-    def merge(key: tuple, blocks: pa.Table) -> pa.Table:
-        keys, n, others = merged(blocks)
-        return pa.table({
-            "shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([rising(keys)], pa.binary()), "others": pa.array([None if others is None else squeeze(others)], pa.binary()),
-            "counts": pa.array([squeeze(n)], pa.binary()), "uses": pa.array([int(n.sum())], pa.int64()),
-        })
-
-    grams = gram_counts(train, first, sent).groupBy("shard").applyInArrow(merge, f"{_GRAMS}, uses bigint")
-    grams = scratch.keep(grams, "grams")
-
-    classes = first.classes
-
-    def followed() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def contexts_of(keys: np.ndarray, shard: int) -> np.ndarray:
-            return (keys // np.uint64(classes)).astype(np.int64) if shard >= 0 else sent.value.named(keys)
+@dataclass
+class Plan:
+    """How contexts are dealt to shards: shards from `shards` on belong to split contexts, which are few (see above)."""
+
+    total: int
+    distinct: int
+    shards: int
+    split: int = SPLIT
+    #: Numbers of split words, ascending, the first shard of each, and how many it has.
+    words: np.ndarray = field(default_factory=_none)
+    first: np.ndarray = field(default_factory=_none)
+    parts: np.ndarray = field(default_factory=_none)
+    #: Split bigrams, ascending by first and second word; their shards.
+    pair1: np.ndarray = field(default_factory=_none)
+    pair2: np.ndarray = field(default_factory=_none)
+    pair_first: np.ndarray = field(default_factory=_none)
+    pair_parts: np.ndarray = field(default_factory=_none)
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [contexts_of(unrising(b), s) for b, s in zip(batch.column("keys").to_pylist(), batch.column("shard").to_pylist(), strict=True)]
-            contexts, n = np.unique(np.concatenate(own), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(contexts.astype(np.int64)), pa.array(n, pa.int64())], names=["context", "kinds"])
+    @property
+    def mass(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
 
-        return each
+    def split_word(self, numbers: np.ndarray) -> np.ndarray:
+        """Which split word each number is, -1 for none."""
+        return _place(self.words, numbers)
+
+    def shard(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = self.split_word(x)
+        k = np.maximum(own, 0)
+        return np.where(own >= 0, self.first[k] + mixed(y) % self.parts[k], mixed(x) % self.shards) if len(self.words) else mixed(x) % self.shards
+
+    def split_pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which split bigram each pair of numbers is, -1 for none."""
+        out = np.full(len(x), -1)
+        for k, (a, b) in enumerate(zip(self.pair1.tolist(), self.pair2.tolist(), strict=True)) if len(self.pair1) <= 64 else ():
+            out[(x == a) & (y == b)] = k
+        if len(self.pair1) > 64:
+            at = {p: k for k, p in enumerate(zip(self.pair1.tolist(), self.pair2.tolist(), strict=True))}
+            may = np.flatnonzero(np.isin(x, self.pair1) & np.isin(y, self.pair2))
+            out[may] = [at.get(p, -1) for p in zip(x[may].tolist(), y[may].tolist(), strict=True)]
+        return out
+
+
+def _place(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(ascending, wanted), len(ascending) - 1)
+    return np.where(ascending[at] == wanted, at, -1)
+
+
+class Block:
+    """A block's texts in the block's own numbers (0: not seen in training), and what they ask of the trie."""
+
+    def __init__(self, data: bytes):
+        ids, none, held, sizes, at, numbers, counts = unbundle(data)
+        self.ids, self.none, self.held = np.frombuffer(ids, np.int64), np.frombuffer(none, bool), np.frombuffer(held, bool)
+        self.sizes = unsqueeze(sizes).astype(np.int64)
+        self.at = unsqueeze(at).astype(np.int64)
+        self.numbers = np.r_[np.int64(0), unrising(numbers).astype(np.int64)]
+        self.counts = np.r_[np.int64(0), unsqueeze(counts).astype(np.int64)]
+        ends = np.cumsum(self.sizes)
+        self.first = np.r_[0, ends[:-1]]
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.before = np.arange(len(self.at)) - 1  # place of the token before; before a text stands its own end
+        self.before[self.first] = ends - 1
 
-    kinds = np.zeros(classes, np.int64)
-    found = map_batches(grams.filter(F.col("shard") >= 0 if shared else ~F.col("shard").between(-cold, -1)).select("shard", "keys"), "context bigint, kinds bigint", followed).groupBy("context").agg(F.sum("kinds").alias("kinds")).toPandas()  # a row for each class at most
-    kinds[found.context.to_numpy(dtype=np.int64)] = found.kinds.to_numpy(dtype=np.int64)
+    @staticmethod
+    def number(content: bytes, numbers: np.ndarray, counts: np.ndarray) -> bytes:
+        """A cut block with its words' numbers and counts, both by place."""
+        ids, none, held, sizes, at = unbundle(content)
+        known = np.flatnonzero(numbers)
+        known = known[np.argsort(numbers[known])]
+        rank = np.zeros(len(numbers), np.int64)
+        rank[known] = 1 + np.arange(len(known))
+        return bundle(ids, none, held, sizes, squeeze(rank[unsqueeze(at).astype(np.int64)]), rising(numbers[known].astype(np.uint64)), squeeze(counts[known]))
+
+    def _distinct(self, where: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, which one each place has, and how often each occurs in training texts."""
+        own, back = np.unique(key, return_inverse=True)
+        return own, back, np.bincount(back[~self.held[self.text[where]]], minlength=len(own))
+
+    def heavy(self, plan: Plan) -> np.ndarray:
+        """Bigrams so frequent here that they may have over SPLIT uses in all: one with more must be as frequent in some block."""
+        where = np.flatnonzero((self.at[self.before] > 0) & (self.at > 0))
+        own, _, n = self._distinct(where, self.at[self.before[where]] * len(self.numbers) + self.at[where])
+        most = n > max(1, plan.split / 2 * (~self.held[self.text]).sum() / max(1, plan.total))
+        x, y = np.divmod(own[most], len(self.numbers))
+        return np.stack([self.numbers[x], self.numbers[y], n[most]]) if most.any() else np.zeros((3, 0), np.int64)
+
+    def ask(self, plan: Plan) -> None:
+        """Distinct pairs by shard, context and successor, and distinct triples by pair; which of them each token has."""
+        n, at = len(self.numbers), self.at
+        where = np.flatnonzero(at[self.before] > 0)
+        own, back, count = self._distinct(where, at[self.before[where]] * n + at[where])
+        x, y = np.divmod(own, n)
+        x, y = self.numbers[x], self.numbers[y]
+        split = plan.split_pair(x, y) if len(plan.pair1) else np.full(len(own), -1)
+        shard = plan.shard(x, y)
+        # A token with a pair before it continues that pair, unless it is the first of its text.
+        pair = np.full(len(at), -1)
+        pair[where] = back
+        third = np.full(len(at), True)
+        third[self.first] = False
+        third = np.flatnonzero(third)
+        third = third[(pair[third - 1] >= 0) & (at[third - 1] > 0) & (at[third] > 0)]
+        of = pair[third - 1]
+        apart = split[of] >= 0
+        loose = third[apart]
+        s_own, s_back, s_count = self._distinct(loose, split[of[apart]] * n + at[loose])
+        sx, sy = np.divmod(s_own, n)
+        sy = self.numbers[sy]
+        s_shard = plan.pair_first[sx] + mixed(sy) % plan.pair_parts[sx] if len(sx) else sx
+        shard, x, y, count = np.r_[shard, s_shard], np.r_[x, sx], np.r_[y, sy], np.r_[count, s_count]
+        order = np.lexsort((y, x, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.shard, self.x, self.y, self.n = shard[order], x[order], y[order], count[order]
+        self.pair = pair
+        self.pair[where] = place[back]
+        self.split_pair = np.r_[split, np.full(len(sx), -1)][order]
+        self.loose, self.loose_at = loose, place[len(own) + s_back] if len(loose) else loose
+        self.tied = third[~apart]
+        t_own, self.tied_at, self.t_n = self._distinct(self.tied, place[of[~apart]] * n + at[self.tied])
+        self.t_pair, t_y = np.divmod(t_own, n)
+        self.t_y = self.numbers[t_y]
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """For each shard: contexts, pairs of each, successors, counts; triples of each pair, successors, counts."""
+        cuts = runs_of(self.shard)
+        triples = np.searchsorted(self.t_pair, cuts)
+        many = np.bincount(self.t_pair, minlength=len(self.x))
+        for a, b, c, d in zip(cuts, cuts[1:], triples, triples[1:]):
+            runs = runs_of(self.x[a:b])
+            yield int(self.shard[a]), bundle(
+                rising(self.x[a:b][runs[:-1]].astype(np.uint64)), squeeze(np.diff(runs)), squeeze(self.y[a:b]), squeeze(self.n[a:b]), squeeze(many[a:b]), squeeze(self.t_y[c:d]), squeeze(self.t_n[c:d])
+            )
+
+
+# ---------------------------------------------------------------- the shards of the trie
+
+_SHARD = "kind int, block bigint, shard int, a binary"
+
+
+def log_code(p: np.ndarray) -> np.ndarray:
+    """-log10 in 1/QUANTUM, from 1 on; 0 stands for what is missing."""
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.clip(np.rint(-np.log10(p) * QUANTUM), 0, 65534) + 1, 0).astype(np.int64)
+
+
+def from_code(code: np.ndarray, missing: float) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((1 - code.astype(np.float64)) / QUANTUM), missing)
+
+
+def shares(n: np.ndarray, of: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of discounted probabilities of successors seen n times after context `of`, and of the contexts' backoff weights."""
+    total, kinds = np.bincount(of, n, contexts), np.bincount(of, n > 0, contexts)
     with np.errstate(divide="ignore", invalid="ignore"):
-        first.log_backoff = np.where(of_class > 0, np.log10(np.minimum(1.0, DISCOUNT * kinds / of_class)), 0.0)
-    first.log_backoff[~np.isfinite(first.log_backoff)] = 0.0
-    first.kinds = kinds
-    uses = {r.shard: r.uses for r in grams.filter("shard >= 0").select("shard", "uses").collect()}  # as many rows as there are shards
-    first.parts = np.array([max(1, -(-uses.get(k, 0) // (2 * SHARD_USES))) for k in range(len(first.starts))], np.int64)
-    sent = spark.sparkContext.broadcast(first)
-
-    def levels() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        level, share = sent.value, sent.value.log_share()
-
-        def build(keys: np.ndarray, n: np.ndarray) -> bytes:
-            x, y = np.divmod(keys.astype(np.int64), level.classes)
-            p = (n.astype(float) - DISCOUNT) / level.counts[x] + 10 ** (level.log_backoff[x] + share[y])
-            return TrieShard.build(keys, np.log10(p))
+        return log_code(np.where(n > 0, (n - DISCOUNT) / total[of], 0)), log_code(np.where(total > 0, DISCOUNT * kinds / total, 0))
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            content = [build(unrising(k), unsqueeze(n)) for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(content, pa.binary())], names=["shard", "content"])
-
-        return each
-
-    tries = map_batches(grams.filter("shard >= 0").select("shard", "keys", "counts"), "shard bigint, content binary", levels)
-    others = _shared_words(counts, sent) if shared else _cold_words(grams.filter("shard < 0"), sent)
-    return Model(first, scratch.keep(tries.unionByName(others), "model"))
 
+def answer_shard(shards: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Adds up one shard's n-grams over all blocks, builds its trie and answers each block from it."""
 
-def _shared_words(counts: DataFrame, sent) -> DataFrame:
-    """(shard, content): the counts of the words of the shared class, by hash: none has more than total / VOCABULARY uses."""
-
-    def names() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        first: First = sent.value
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in first.words]
-            h = hashed([w for w, _ in own])
-            return pa.RecordBatch.from_arrays([pa.array(cold_shard(h, first.cold), pa.int64()), pa.array(h.view(np.int64)), pa.array([n for _, n in own], pa.int64())], names=["shard", "hash", "n"])
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        split = shard >= shards
+        asked = [[unsqueeze(p).astype(np.int64) if k else unrising(p).astype(np.int64) for k, p in enumerate(unbundle(a))] for a in rows.column("a").to_pylist()]
+        column = lambda k: np.concatenate([q[k] for q in asked])
+        x, of_x = np.unique(column(0), return_inverse=True)
+        if len(x) >> (63 - WORD_BITS) or max((int(q[k].max()) for q in asked for k in (2, 5) if len(q[k])), default=0) >> WORD_BITS:
+            raise OverflowError("a shard's contexts or the vocabulary are beyond the number of bits; lower SHARD_USES or raise WORD_BITS")
+        pairs, of_pair = np.unique((np.repeat(of_x, column(1)) << WORD_BITS) | column(2), return_inverse=True)
+        n = np.bincount(of_pair, column(3), len(pairs)).astype(np.int64)
+        if len(pairs) >> (63 - WORD_BITS):
+            raise OverflowError("a shard has too many pairs; lower SHARD_USES")
+        triples, of_triple = np.unique((np.repeat(of_pair, column(4)) << WORD_BITS) | column(5), return_inverse=True)
+        t_n = np.bincount(of_triple, column(6), len(triples)).astype(np.int64)
+        low = (1 << WORD_BITS) - 1
+        context, y, of, z = pairs >> WORD_BITS, pairs & low, triples >> WORD_BITS, triples & low
+        # What training texts hold becomes the trie.
+        p, t = np.flatnonzero(n), np.flatnonzero(t_n)
+        has = np.zeros(len(x), bool)
+        has[context[p]] = True
+        at_context, at_pair = np.cumsum(has) - 1, np.cumsum(n > 0) - 1
+        c2, c3 = at_context[context[p]], at_pair[of[t]]
+        second, own = shares(n[p], c2, int(has.sum()))
+        third, second_own = shares(t_n[t], c3, len(p))
+        out = []
+        if split:
+            total, kinds = np.bincount(c2, n[p], int(has.sum())), np.bincount(c2, minlength=int(has.sum()))
+            out.append((TOTALS, None, np.stack([x[has], total.astype(np.int64), kinds]).astype(np.int64).tobytes()))
+            second, own = n[p], np.zeros(int(has.sum()), np.int64)
+        starts2, starts3 = np.r_[0, np.cumsum(np.bincount(c2, minlength=int(has.sum())))], np.r_[0, np.cumsum(np.bincount(c3, minlength=len(p)))]
+        content = TrieShard.build(x[has], starts2, y[p], starts3, z[t], own, second, second_own, third)
+        trie = TrieShard(content)
+        place, own, second, second_own = trie.pairs(x[context].astype(np.uint64), y)
+        third = trie.triples(place[of], z)
+        a = c = 0
+        for block, q in zip(rows.column("block").to_pylist(), asked, strict=True):
+            e, f = of_pair[a : a + len(q[2])], of_triple[c : c + len(q[5])]
+            a, c = a + len(q[2]), c + len(q[5])
+            out.append((ANSWER, block, bundle(squeeze(second[e]), squeeze(own[e[np.r_[0, np.cumsum(q[1])[:-1]]]]), squeeze(second_own[e]), squeeze(third[f]))))
+        out.append((LEVEL, None, content))
+        kind, block, content = zip(*out, strict=True)
+        return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "a": pa.array(content, pa.binary())})
 
-        return each
+    return answer
 
-    def keep(key: tuple, rows: pa.Table) -> pa.Table:
-        h, n = rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-        order = np.argsort(h)
-        content = h[order].tobytes() + n[order].astype("<i8").tobytes() + np.zeros(len(h)).tobytes()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    return map_batches(counts, "shard bigint, hash bigint, n bigint", names).groupBy("shard").applyInArrow(keep, "shard bigint, content binary")
+@dataclass
+class Totals:
+    """How often each split context is one, and how many successors it has; words by number, bigrams by place in the plan."""
+
+    word_n: np.ndarray
+    word_kinds: np.ndarray
+    pair_n: np.ndarray
+    pair_kinds: np.ndarray
+
+
+def sum_up(block: Block, plan: Plan, totals: Totals, answers: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base score and score of each text. answers: by shard, as asked."""
+    texts, at = len(block.sizes), block.at
+    second, own, second_own, third = (np.concatenate([_none(), *(a[k] for a in answers)]).astype(np.int64) for k in range(4))
+    of_run = np.cumsum(np.r_[True, (np.diff(block.shard) != 0) | (np.diff(block.x) != 0)]) - 1 if len(block.x) else _none()
+    share = from_code(second, 0.0)
+    backoff = from_code(own[of_run], 1.0)
+    whole = block.shard >= plan.shards  # pairs of split contexts: counts instead of codes
+    k = np.flatnonzero(whole)
+    if len(k):
+        word = plan.split_word(block.x[k])
+        by_word = block.shard[k] < (plan.pair_first[0] if len(plan.pair_first) else 1 << 62)
+        word, pair = np.where(by_word, word, 0), np.where(by_word, 0, block.x[k])
+        pick = lambda w, p: np.where(by_word, w[word] if len(w) else 0, p[pair] if len(p) else 0)
+        n, kinds = pick(totals.word_n, totals.pair_n), pick(totals.word_kinds, totals.pair_kinds)
+        share[k] = np.maximum(second[k] - DISCOUNT, 0) / np.maximum(n, 1)
+        backoff[k] = np.where(n > 0, DISCOUNT * kinds / np.maximum(n, 1), 1.0)
+    one = (block.counts[at] + 0.5) / plan.mass
+    two = one.copy()
+    asked = np.flatnonzero(block.pair >= 0)
+    e = block.pair[asked]
+    two[asked] = share[e] + backoff[e] * one[asked]
+    after = from_code(second_own, 1.0)  # backoff weight of a pair as a context
+    k = np.flatnonzero(block.split_pair >= 0)
+    if len(k):
+        s = block.split_pair[k]
+        after[k] = np.where(totals.pair_n[s] > 0, DISCOUNT * totals.pair_kinds[s] / np.maximum(totals.pair_n[s], 1), 1.0)
+    inner = np.full(len(at), True)
+    inner[block.first] = False
+    inner = np.flatnonzero(inner)
+    inner = inner[block.pair[inner - 1] >= 0]
+    three = two.copy()
+    three[inner] = after[block.pair[inner - 1]] * two[inner]
+    three[block.tied] += from_code(third, 0.0)[block.tied_at]
+    three[block.loose] += share[block.loose_at]
+    by_text = lambda v: np.bincount(block.text, v, texts)
+    return block.sizes, by_text(at > 0).astype(np.int64), by_text(np.log10(one)), by_text(np.log10(three))
+
+
+# ---------------------------------------------------------------- the whole
 
 
-def gain(n: np.ndarray, kinds: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """log10 of a bigram's probability over backoff weight times unigram probability, in 1/QUANTUM."""
-    return np.clip(np.rint(np.log10(1 + (n.astype(float) - DISCOUNT) / (DISCOUNT * kinds * share)) * QUANTUM), 0, 65535).astype("<u2")
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 1. A null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
 
 
-def _cold_words(grams: DataFrame, sent) -> DataFrame:
-    """(shard, content): counts and backoff weights of cold words, and gains of the bigrams that hold one.
+@dataclass
+class Model:
+    """scores: doc_id, held_out, n_tokens, n_known, base_score, score. words and trie: the levels, a row for each shard."""
 
-    A text's tokens with its end form a ring, so a word is a context as often as it
-    is a token, and a cold context's shard knows its count and its successors. What
-    has a cold successor goes on to that word's shard, which knows its count.
-    """
+    scores: DataFrame
+    train_tokens: int
+    words: DataFrame  # shard, a: hashes in Elias-Fano form, b: numbers and counts
+    trie: DataFrame  # shard, a: a TrieShard
 
-    def deal() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        first: First = sent.value
-
-        def one(shard: int, hx: np.ndarray, hy: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
-            names = pair_names(hx, hy)
-            if shard < -first.cold:
-                kinds, ahead = first.kinds[first.named(hx)], np.arange(len(hx))
-            else:
-                at = runs_of(hx)
-                of = np.diff(np.r_[at, len(hx)])
-                kinds, y = np.repeat(of, of), first.named(hy)
-                done, ahead = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
-                share = (first.counts[y[done]] + 0.5) / first.mass
-                words = [rising(hx[at]), squeeze(np.add.reduceat(n, at)), squeeze(of)]
-                yield shard, *words, squeeze(names[done]), squeeze(gain(n[done], kinds[done], share))
-            to = cold_shard(hy[ahead], first.cold)
-            order = np.argsort(to, kind="stable")
-            to, ahead = to[order], ahead[order]
-            for a, b in spans(to):
-                own = ahead[a:b]
-                yield int(to[a]), squeeze(hy[own]), squeeze(n[own]), squeeze(kinds[own]), squeeze(names[own]), None
 
+def fit_and_score(docs: DataFrame) -> Model:
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) + F.count("*")).first()[0]
+    uses = size // 5 + 1  # about so many tokens, for the number of shards only
+    bits, shards = max(0, (uses // (4 * SHARD_USES)).bit_length()), max(1, -(-uses // SHARD_USES))
+
+    cut = scratch.keep(cut_blocks(docs, bits, FLUSH_TOKENS), "cut")
+    counted = scratch.keep(cut.filter("shard >= 0").groupBy("shard").applyInArrow(count_words(bits, SPLIT), _COUNTED), "words")
+    facts = counted.filter(f"kind = {TOTALS}").select("a", "b").collect()  # a row for each shard
+    sums = np.sum([np.frombuffer(bytes(r.a), np.int64) for r in facts], axis=0) if facts else np.zeros(2, np.int64)
+    hot = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(bytes(r.b), np.int64).reshape(2, -1) for r in facts)], axis=1)
+    hot = hot[:, np.argsort(hot[0])]
+    plan = Plan(int(sums[0]), int(sums[1]), shards, SPLIT, hot[0])
+    plan.parts = -(-hot[1] // plan.split)
+    plan.first = shards + np.cumsum(np.r_[np.int64(0), plan.parts])[:-1]
+    sent = spark.sparkContext.broadcast(plan)
+
+    def number(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("shard").to_numpy())
+        numbers, counts = (np.concatenate([unsqueeze(answers.column(c)[int(k)].as_py()) for k in order]).astype(np.int64) for c in ("a", "b"))
+        content = Block.number(texts.column("a")[0].as_py(), numbers, counts)
+        heavy = Block(content).heavy(sent.value)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "a": pa.array([content], pa.binary()), "b": pa.array([heavy.tobytes()], pa.binary())})
+
+    numbered = cut.filter("shard < 0").select("block", "a").groupBy("block").cogroup(counted.filter(f"kind = {ANSWER}").select("block", "shard", "a", "b").groupBy("block")).applyInArrow(number, "block bigint, a binary, b binary")
+    blocks = scratch.keep(numbered, "blocks")
+    scratch.drop(cut)
+    plan = with_pairs(plan, blocks)
+    sent = spark.sparkContext.broadcast(plan)
+
+    def ask() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "others", "counts")), strict=True)
-            out = [row for s, k, o, n in rows for row in one(s, unrising(k), unsqueeze(o), unsqueeze(n))]
-            columns = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "words", "counts", "kinds", "names", "gains"])
+            out = []
+            for name, data in zip(batch.column("block").to_pylist(), batch.column("a"), strict=True):
+                block = Block(data.as_py())
+                block.ask(sent.value)
+                out += [(name, *q) for q in block.questions()]
+            block, shard, a = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(shard, pa.int32()), pa.array(a, pa.binary())], names=["block", "shard", "a"])
 
         return each
 
-    def keep(key: tuple, rows: pa.Table) -> pa.Table:
-        first: First = sent.value
-        own, ahead = rows.filter(rows.column("gains").is_valid()), rows.filter(rows.column("gains").is_null())
-        column = lambda t, c: np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(b) for b in t.column(c).to_pylist())])
-        words = np.concatenate([np.zeros(0, np.uint64), *(unrising(b) for b in own.column("words").to_pylist())])  # one row: the shard's cold contexts
-        n, kinds = column(own, "counts").astype("<i8"), column(own, "kinds")
-        y = np.searchsorted(words, column(ahead, "words"))
-        gains = gain(column(ahead, "counts"), column(ahead, "kinds"), (n[y] + 0.5) / first.mass)
-        names, gains = np.r_[column(own, "names"), column(ahead, "names")], np.r_[column(own, "gains").astype("<u2"), gains]
-        order = np.argsort(names)
-        content = [words.tobytes() + n.tobytes() + np.log10(DISCOUNT * kinds / n).tobytes(), names[order].tobytes() + gains[order].tobytes()]
-        shard = key[0].as_py()
-        return pa.table({"shard": pa.array([shard, shard - first.cold], pa.int64()), "content": pa.array(content, pa.binary())})
-
-    dealt = map_batches(grams.select("shard", "keys", "others", "counts"), "shard bigint, words binary, counts binary, kinds binary, names binary, gains binary", deal)
-    return dealt.groupBy("shard").applyInArrow(keep, "shard bigint, content binary")
-
-
-def cold_shard(hashes: np.ndarray, cold: int) -> np.ndarray:
-    return -1 - ((hashes >> np.uint64(32)) % np.uint64(cold)).astype(np.int64)
-
-
-#: Shards at and below this hold sums of texts that need no lookup.
-SUMS = -(1 << 40)
-_BLOCK = "shard bigint, part bigint, first_row bigint, keys binary, rows binary"
-_ANSWER = "first_row bigint, kind int, rows binary, sums binary"
-_SUMS = "doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, n_rare bigint, log_rare double, log_grams double"
-
-
-def _questions(rows: DataFrame, sent) -> DataFrame:
-    """Blocks of what the texts ask of each shard: keys, ascending, and for each the text it is from."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: First = sent.value
-        log_counts, share = np.log10(first.counts + 0.5), first.log_share()
-        log_counts[0] = 0.0
-        held, n, turn = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            own = [tokens(t) for _, _, t in held]
-            sizes = np.array([len(t) for t in own])
-            ends = np.cumsum(sizes)
-            flat = [t for ts in own for t in ts]
-            classes = coded(flat, first.words)
-            text = np.repeat(np.arange(len(held)), sizes)
-            row0 = held[0][0]
-            row = np.array([r for r, _, _ in held], np.int64) - row0
-            out: list[tuple] = []
-
-            def blocks(keys: np.ndarray, shards: np.ndarray, of: np.ndarray, parts: np.ndarray | None) -> None:
-                if not len(keys):
-                    return
-                order = np.lexsort((of, keys, shards))
-                keys, shards, of = keys[order], shards[order], row[of[order]]
-                cut = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
-                for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
-                    s = int(shards[a])
-                    out.append((s, turn % int(parts[s]) if parts is not None else 0, row0, rising(keys[a:b]), squeeze(of[a:b])))
-
-            place = before(ends)
-            x = classes[place]
-            hot = np.full(len(x), True) if first.shared else (x > 0) & (classes > 0)
-            keys = (x[hot] * first.classes + classes[hot]).astype(np.uint64)
-            blocks(keys, first.shard(keys), text[hot], first.parts)
-            rare = np.flatnonzero(classes == 0)
-            h = hashed([flat[k] for k in rare])
-            blocks(h, cold_shard(h, first.cold), text[rare], None)
-            mixed = np.flatnonzero(~hot)
-            names = first.names[classes]
-            names[rare] = h
-            hx, hy = names[place[mixed]], names[mixed]
-            blocks(pair_names(hx, hy), cold_shard(np.where(classes[mixed] == 0, hy, hx), first.cold) - first.cold, text[mixed], None)
-            # Of a bigram with a cold word, what the hot one of the two gives; class 0 gives nothing here.
-            local = np.bincount(text[mixed], first.log_backoff[x[mixed]] + share[classes[mixed]], len(held))
-            known = np.bincount(text, classes > 0, len(held)).astype(np.int64)
-            sums = np.bincount(text, log_counts[classes], len(held))
-            ids = np.array([d if d is not None else 0 for _, d, _ in held], np.int64)
-            none = np.array([d is None for _, d, _ in held], np.uint8)
-            summed = ids.tobytes() + none.tobytes() + sizes.astype(np.int64).tobytes() + known.tobytes() + sums.tobytes() + local.tobytes()
-            out.append((SUMS - (row0 + turn) % 1009, 0, row0, summed, squeeze(row)))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "part", "first_row", "keys", "rows"])
-
-        for batch in batches:
-            for item in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append(item)
-                n += len(item[2] or "") // 5 + 1
-                if n >= FLUSH_TOKENS:
-                    yield flush()
-                    held, n, turn = [], 0, turn + 1
-        if held:
-            yield flush()
-
-    return rows.mapInArrow(run, _BLOCK)
-
-
-def _by_text(rows: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes]:
-    """The texts of a block, ascending, and the sums of each column over a text's entries."""
-    own, back = np.unique(rows, return_inverse=True)
-    return rising(own), b"".join(np.bincount(back, v, len(own)).tobytes() for v in values)
-
-
-def _answer(sent) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Answers each block with a block of sums; kind 0: n-grams, 1: other words, 2: what needs no lookup, 3: n-grams with a cold word."""
-    state: dict = {}
-
-    def answer(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
-        first: First = sent.value
-        if "share" not in state:
-            state["share"] = first.log_share()
-        shard = key[0].as_py()
-        contents = model.column("content").to_pylist()
-        trie = TrieShard(contents[0]) if contents and shard >= 0 else None
-        out: list[tuple] = []
-        for first_row, keys, rows in zip(*(blocks.column(c).to_pylist() for c in ("first_row", "keys", "rows")), strict=True):
-            if shard <= SUMS:
-                out.append((first_row, 2, rows, keys))
-                continue
-            row, asked = unsqueeze(rows), unrising(keys)
-            if shard < -first.cold:
-                gains = np.zeros(len(asked))
-                if contents and (size := len(contents[0]) // 10):
-                    have, codes = np.frombuffer(contents[0], np.uint64, size), np.frombuffer(contents[0], "<u2", size, 8 * size)
-                    at = np.minimum(np.searchsorted(have, asked), size - 1)
-                    gains = np.where(have[at] == asked, codes[at] / QUANTUM, 0.0)
-                out.append((first_row, 3, *_by_text(row, gains)))
-            elif shard < 0:
-                n, logs = np.zeros(len(asked), np.int64), np.zeros(len(asked))
-                if contents and (size := len(contents[0]) // 24):
-                    have, counts, backoff = (np.frombuffer(contents[0], t, size, 8 * size * k) for k, t in enumerate((np.uint64, np.int64, np.float64)))
-                    at = np.minimum(np.searchsorted(have, asked), size - 1)
-                    there = have[at] == asked
-                    n, logs = np.where(there, counts[at], 0), np.where(there, backoff[at], 0.0)
-                out.append((first_row, 1, *_by_text(row, n > 0, np.ones(len(n)), np.log10(n + 0.5), logs)))
-            else:
-                x, y = np.divmod(asked.astype(np.int64), first.classes)
-                logs = first.log_backoff[x] + state["share"][y]
-                out.append((first_row, 0, *_by_text(row, trie.log_probabilities(asked, logs) if trie else logs)))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("first_row", "kind", "rows", "sums"), columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
-
-    return answer
-
-
-def _add_up(key: tuple, blocks: pa.Table) -> pa.Table:
-    """The texts of one task's turn, from all blocks of sums about them: at most about FLUSH_TOKENS entries."""
-    kinds, rows, sums = (blocks.column(c).to_pylist() for c in ("kind", "rows", "sums"))
-    own = kinds.index(2)
-    texts = unsqueeze(rows[own]).astype(np.int64)
-    n = len(texts)
-    ids, none = np.frombuffer(sums[own], np.int64, n), np.frombuffer(sums[own], np.uint8, n, 8 * n).astype(bool)
-    sizes, known, log_counts, local = (np.frombuffer(sums[own], t, n, 9 * n + 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.float64, np.float64)))
-    known, rare, log_rare, log_grams = known.astype(float), np.zeros(n), np.zeros(n), local.copy()
-    for kind, row, values in zip(kinds, rows, sums, strict=True):
-        if kind == 2:
-            continue
-        at = np.searchsorted(texts, unrising(row).astype(np.int64))
-        columns = np.frombuffer(values, np.float64).reshape(-1, len(at))
-        for total, column in zip((known, rare, log_rare, log_grams) if kind == 1 else (log_grams,), columns, strict=True):
-            total[at] += column  # a block names a text once
-    return pa.table({
-        "doc_id": pa.array(ids, mask=none), "n_tokens": sizes, "n_known": known.astype(np.int64), "log_counts": log_counts,
-        "n_rare": rare.astype(np.int64), "log_rare": log_rare, "log_grams": log_grams,
-    })
-
-
-def held_out(doc_id: Column) -> Column:
-    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 1. A null id counts as empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
-
-
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, base_score, score."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model.first)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [[k, int(p)] for k, p in enumerate(model.first.parts.tolist()) if p > 1]
-    spread = spark.createDataFrame(parts or [[-(1 << 50), 1]], "shard bigint, parts bigint")
-    table = model.table.join(F.broadcast(spread), "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).select("shard", "part", "content")
-    answers = table.groupBy("shard", "part").cogroup(_questions(rows, sent).groupBy("shard", "part")).applyInArrow(_answer(sent), _ANSWER)
-    sums = answers.groupBy("first_row").applyInArrow(_add_up, _SUMS)
-    log_mass, log_shared = math.log10(model.first.mass), float(model.first.log_share()[0])
-    rare = F.col("log_rare") - F.col("n_rare") * (log_mass + log_shared)
-    return sums.select("doc_id", "n_tokens", "n_known", (F.col("log_counts") + F.col("log_rare") - F.col("n_tokens") * log_mass).alias("base_score"), (F.col("log_grams") + rare).alias("score"))
+    asked = map_batches(blocks.select("block", "a"), "block bigint, shard int, a binary", ask)
+    tries = scratch.keep(asked.groupBy("shard").applyInArrow(answer_shard(shards), _SHARD), "trie")
+    totals = split_totals(plan, tries)
+    said = spark.sparkContext.broadcast(totals)
+
+    def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(texts.column("a")[0].as_py())
+        block.ask(sent.value)
+        order = np.argsort(answers.column("shard").to_numpy()) if answers.num_rows else []
+        got = [[unsqueeze(p) for p in unbundle(answers.column("a")[int(k)].as_py())] for k in order]
+        n, known, base, scores = sum_up(block, sent.value, said.value, got)
+        return pa.table({"doc_id": pa.array(block.ids, mask=block.none), "held_out": pa.array(block.held), "n_tokens": n, "n_known": known, "base_score": base, "score": scores})
+
+    answers = tries.filter(f"kind = {ANSWER}").select("block", "shard", "a")
+    scores = blocks.select("block", "a").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return Model(scores, plan.total, counted.filter(f"kind = {LEVEL}").select("shard", "a", "b"), tries.filter(f"kind = {LEVEL}").select("shard", "a"))
+
+
+def with_pairs(plan: Plan, blocks: DataFrame) -> Plan:
+    """The plan with split bigrams: what blocks report sums to at least half of SPLIT for each that has over SPLIT uses."""
+    reports = blocks.filter(F.length("b") > 0)
+
+    def each() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(b, np.int64).reshape(3, -1) for b in batch.column("b").to_pylist())], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["x", "y", "n"])
+
+        return one
+
+    pairs = map_batches(reports.select("b"), "x bigint, y bigint, n bigint", each).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    found = sorted((r.x, r.y, r.n) for r in pairs.filter(F.col("n") > plan.split // 2).collect())  # at most 2 * tokens / SPLIT rows
+    if not found:
+        return plan
+    x, y, n = (np.array(c, np.int64) for c in zip(*found, strict=True))
+    parts = -(-2 * n // plan.split)
+    first = plan.shards + int(plan.parts.sum()) + np.cumsum(np.r_[np.int64(0), parts])[:-1]
+    return Plan(plan.total, plan.distinct, plan.shards, plan.split, plan.words, plan.first, plan.parts, x, y, first, parts)
+
+
+def split_totals(plan: Plan, tries: DataFrame) -> Totals:
+    """Adds up what the shards of split contexts say; as many rows as there are such shards."""
+    rows = tries.filter(f"kind = {TOTALS}").select("shard", "a").collect() if len(plan.words) or len(plan.pair1) else []
+    sums = [np.zeros((2, len(plan.words)), np.int64), np.zeros((2, len(plan.pair1)), np.int64)]
+    for r in rows:
+        key, n, kinds = np.frombuffer(bytes(r.a), np.int64).reshape(3, -1)
+        pair = len(plan.pair_first) and r.shard >= plan.pair_first[0]
+        at = key if pair else plan.split_word(key)
+        np.add.at(sums[int(bool(pair))], (slice(None), at), np.stack([n, kinds]))
+    return Totals(*sums[0], *sums[1])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -717,10 +575,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     The model learns from all documents that held_out() leaves. base_score sums
     log10 of add-half unigram probabilities; score is the model's log10
-    probability of the text. Null and empty texts are one end token. Repeated
-    rows are counted and scored each. Empty tables give no rows; without training
-    documents both scores are those of a model that has seen nothing.
+    probability of the text, whose first word follows an end and whose other words
+    follow two. Null and empty texts are one end token. Repeated rows are counted
+    and scored each. Empty tables give no rows; without training documents both
+    scores are those of a model that has seen nothing.
     """
-    model = train_model(docs.filter(~held_out(F.col("doc_id"))))
-    found = score_texts(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.first.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    model = fit_and_score(docs)
+    return model.scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
