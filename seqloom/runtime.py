@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
@@ -83,6 +84,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are written.
+
+    It does so when the driver collects what refers to them, which a driver with
+    little to do may put off until the next stages have filled the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive any executor."""
 
@@ -94,10 +105,10 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write df and return what reads it back; the schema is passed on, so that empty tables work too."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
