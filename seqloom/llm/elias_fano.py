@@ -160,9 +160,9 @@ class TrieShard:
         self.level2 = Level(buffer, self.contexts.end)
         self.level3 = Level(buffer, self.level2.end)
         n, n2, n3, at = self.contexts.n, self.level2.values.n, self.level3.values.n, self.level3.end
-        self.own = np.frombuffer(buffer, "<u2", n, at)
         wide = struct.unpack_from("<B", buffer, at)[0]  # bytes of a pair's code
         at += 1
+        self.own = np.frombuffer(buffer, "<u2", n, at)
         self.second = np.frombuffer(buffer, f"<u{wide}", n2, at + 2 * n)
         self.second_own = np.frombuffer(buffer, "<u2", n2, at + 2 * n + wide * n2)
         self.third = np.frombuffer(buffer, "<u2", n3, at + 2 * n + (2 + wide) * n2)
@@ -185,17 +185,23 @@ class TrieShard:
             return np.zeros(len(at), codes.dtype)
         return np.where(at >= 0, codes[np.maximum(at, 0)], 0)
 
+    #: Lookups done at once: a bound of memory.
+    STEP = 1 << 18
+
     def pairs(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of pairs, and the codes of the contexts, of the pairs and of the pairs as contexts; 0 where missing."""
-        c = self.contexts.find(context)
-        at = np.full(len(c), -1)
-        known = np.flatnonzero(c >= 0)
-        at[known] = self.level2.find(c[known], successor[known])
+        c, at = np.full(len(context), -1), np.full(len(context), -1)
+        for k in range(0, len(c), self.STEP):
+            part = slice(k, k + self.STEP)
+            c[part] = self.contexts.find(context[part])
+            known = k + np.flatnonzero(c[part] >= 0)
+            at[known] = self.level2.find(c[known], successor[known])
         return at, self._codes(self.own, c), self._codes(self.second, at), self._codes(self.second_own, at)
 
     def triples(self, pair: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of the successors of pairs, given by their places; 0 where missing."""
         at = np.full(len(pair), -1)
-        known = np.flatnonzero(pair >= 0)
-        at[known] = self.level3.find(pair[known], successor[known])
+        for k in range(0, len(at), self.STEP):
+            known = k + np.flatnonzero(pair[k : k + self.STEP] >= 0)
+            at[known] = self.level3.find(pair[known], successor[known])
         return self._codes(self.third, at)

@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import map_batches
 from seqloom.llm.elias_fano import EliasFano, TrieShard
-from seqloom.runtime import Scratch, ship_package
+from seqloom.runtime import Scratch, free_shuffles, ship_package
 
 DISCOUNT = 0.75
 #: Logarithms are kept in steps of 1/QUANTUM of a decimal place, in 16 bits.
 QUANTUM = 4096
 #: N-gram uses that a shard is meant for, uses from which a context is split, and tokens that a task holds before it sends a block.
-SHARD_USES, SPLIT, FLUSH_TOKENS = 2_000_000, 500_000, 600_000
+SHARD_USES, SPLIT, FLUSH_TOKENS = 1_000_000, 250_000, 600_000
 END = b""
 #: Bits of a word's number, and of a context's place within a shard.
 WORD_BITS = 40
@@ -485,6 +485,7 @@ def fit_and_score(docs: DataFrame) -> Model:
 
     cut = scratch.keep(cut_blocks(docs, bits, FLUSH_TOKENS), "cut")
     counted = scratch.keep(cut.filter("shard >= 0").groupBy("shard").applyInArrow(count_words(bits, SPLIT), _COUNTED), "words")
+    free_shuffles(spark)
     facts = counted.filter(f"kind = {TOTALS}").select("a", "b").collect()  # a row for each shard
     sums = np.sum([np.frombuffer(bytes(r.a), np.int64) for r in facts], axis=0) if facts else np.zeros(2, np.int64)
     hot = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(bytes(r.b), np.int64).reshape(2, -1) for r in facts)], axis=1)
@@ -503,7 +504,9 @@ def fit_and_score(docs: DataFrame) -> Model:
 
     numbered = cut.filter("shard < 0").select("block", "a").groupBy("block").cogroup(counted.filter(f"kind = {ANSWER}").select("block", "shard", "a", "b").groupBy("block")).applyInArrow(number, "block bigint, a binary, b binary")
     blocks = scratch.keep(numbered, "blocks")
-    scratch.drop(cut)
+    words = scratch.keep(counted.filter(f"kind = {LEVEL}").select("shard", "a", "b"), "level")
+    scratch.drop(cut, counted)
+    free_shuffles(spark)
     plan = with_pairs(plan, blocks)
     sent = spark.sparkContext.broadcast(plan)
 
@@ -520,7 +523,8 @@ def fit_and_score(docs: DataFrame) -> Model:
         return each
 
     asked = map_batches(blocks.select("block", "a"), "block bigint, shard int, a binary", ask)
-    tries = scratch.keep(asked.groupBy("shard").applyInArrow(answer_shard(shards), _SHARD), "trie")
+    tries = scratch.keep(asked.groupBy("shard").applyInArrow(answer_shard(shards), _SHARD), "trie", compression="zstd")
+    free_shuffles(spark)
     totals = split_totals(plan, tries)
     said = spark.sparkContext.broadcast(totals)
 
@@ -534,7 +538,7 @@ def fit_and_score(docs: DataFrame) -> Model:
 
     answers = tries.filter(f"kind = {ANSWER}").select("block", "shard", "a")
     scores = blocks.select("block", "a").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return Model(scores, plan.total, counted.filter(f"kind = {LEVEL}").select("shard", "a", "b"), tries.filter(f"kind = {LEVEL}").select("shard", "a"))
+    return Model(scores, plan.total, words, tries.filter(f"kind = {LEVEL}").select("shard", "a"))
 
 
 def with_pairs(plan: Plan, blocks: DataFrame) -> Plan:
