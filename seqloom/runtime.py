@@ -7,6 +7,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -90,8 +91,10 @@ def free_shuffles(spark: SparkSession) -> None:
     It does so when the driver collects what refers to them, which a driver with
     little to do may put off until the next stages have filled the disks.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what listeners still hold in the first round goes in the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class Scratch:
