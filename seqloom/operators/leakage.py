@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def inverted_index(evidence: DataFrame) -> DataFrame:
-    """(kind, value, artifacts): the sorted distinct artifacts that hold each piece of evidence."""
-    return evidence.groupBy("kind", "value").agg(F.array_sort(F.collect_set("artifact")).alias("artifacts"))
+from seqloom.runtime import attach
 
 
 def overlaps(evidence: DataFrame) -> DataFrame:
-    """(kind, value, train_ids, test_ids) of evidence (artifact, kind, value, partition) on both sides.
+    """(kind, value, partition, artifact) of evidence (artifact, kind, value, partition) on both sides: an inverted index in rows.
 
-    Values are counted by side before any list is built, so only shared ones are collected.
+    Values are counted by side first; a value that very many artifacts hold makes
+    many rows, never one long list, and is sent to them rather than gathered.
     """
-    own = evidence.distinct()
-    both = own.groupBy("kind", "value").agg(F.max((F.col("partition") == "train").cast("int")).alias("a"), F.max((F.col("partition") == "test").cast("int")).alias("b")).filter("a = 1 AND b = 1")
-    shared = own.join(both.select("kind", "value"), ["kind", "value"])
-    return shared.groupBy("kind", "value").agg(
-        F.array_sort(F.collect_set(F.when(F.col("partition") == "train", F.col("artifact")))).alias("train_ids"),
-        F.array_sort(F.collect_set(F.when(F.col("partition") == "test", F.col("artifact")))).alias("test_ids"),
-    )
+    own = evidence.select("artifact", "kind", "value", "partition").distinct()
+    sides = own.groupBy("kind", "value").agg(F.count_if(F.col("partition") == "train").alias("a"), F.count_if(F.col("partition") == "test").alias("b"), F.count("*").alias("n"))
+    key = F.struct("kind", "value").alias("key")
+    shared = attach(own.select(key, "partition", "artifact"), sides.filter("a > 0 AND b > 0").select(key, "n"), "key", "n", own.count())
+    return shared.select("key.kind", "key.value", "partition", "artifact")
 
 
 def report(evidence: DataFrame) -> DataFrame:

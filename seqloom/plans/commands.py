@@ -185,7 +185,12 @@ def run(argv: list[str] | None = None) -> int:
         p.add_argument("--order", default=2, type=int)
     a = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or SparkSession.builder.appName("seqloom").getOrCreate()
-    show = lambda df: print("\n".join(df.toJSON().take(1000)))
+
+    def show(rows: DataFrame) -> None:
+        """All rows, a partition at a time."""
+        for line in rows.toJSON().toLocalIterator():
+            print(line)
+
     try:
         if a.command == "validate":
             issues = Scratch(spark, "validate-command").keep(validate(spark, a.corpus), "issues")

@@ -16,9 +16,9 @@ from seqloom.runtime import Scratch
 from seqloom.sources.tables import document_lines, event_lines, event_tokens, table
 
 SEGMENT = ["artifact_id", "seg"]
-#: Sizes of the registered null models.
+#: Sizes of the registered null models; each is an argument too.
 RUNS = 20
-WIDTH_RUNS = 10
+WIDTH_RUNS = 100
 
 # ---- SQL shared by the oracles -------------------------------------------------------------------------------------
 
@@ -117,18 +117,15 @@ def _with_row_split(evidence: DataFrame) -> DataFrame:
 
 def leakage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.overlaps(_with_row_split(_document_evidence(spark, sf_dir)))
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda x: x.cast("string"))), lambda x: x), ",")
-    return found.select("kind", "value", ids(F.col("train_ids")).alias("train_ids"), ids(F.col("test_ids")).alias("test_ids"))
+    return found.select("kind", "value", "partition", F.col("artifact").alias("doc_id"))
 
 
 EVIDENCE = """
 evi AS (SELECT DISTINCT doc_id AS artifact, 'family' AS kind, text_hash AS value FROM docline UNION SELECT DISTINCT doc_id, 'sequence', sha256(line) FROM docline),
 sided AS (SELECT *, CASE WHEN substr(sha256('0' || chr(0) || artifact), 1, 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END AS partition FROM evi)
 """
-OVERLAP_SQL = f"""WITH {DOC}, {EVIDENCE}
-SELECT kind, value, string_agg(CAST(artifact AS VARCHAR), ',' ORDER BY CAST(artifact AS VARCHAR)) FILTER (partition = 'train') AS train_ids,
-string_agg(CAST(artifact AS VARCHAR), ',' ORDER BY CAST(artifact AS VARCHAR)) FILTER (partition = 'test') AS test_ids
-FROM sided GROUP BY kind, value HAVING count(*) FILTER (partition = 'train') > 0 AND count(*) FILTER (partition = 'test') > 0"""
+OVERLAP_SQL = f"""WITH {DOC}, {EVIDENCE}, both AS (SELECT kind, value FROM sided GROUP BY kind, value HAVING count(*) FILTER (partition = 'train') > 0 AND count(*) FILTER (partition = 'test') > 0)
+SELECT kind, value, partition, artifact AS doc_id FROM sided JOIN both USING (kind, value)"""
 
 
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,17 +397,15 @@ SUMMARY_SQL = f"""{EDGES}, x AS (SELECT DISTINCT sign FROM q), d AS (SELECT k, c
 SELECT count(*) AS vertices, CAST(sum(coalesce(d, 0)) // 2 AS BIGINT) AS edges, max(coalesce(d, 0)) AS largest_degree, count(*) FILTER (coalesce(d, 0) = 0) AS isolated FROM x LEFT JOIN d ON x.sign = d.k"""
 
 
-def treewidth_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+def treewidth_null(spark: SparkSession, sf_dir: str, runs: int = WIDTH_RUNS) -> DataFrame:
     """Treewidth bounds of the observed adjacency graph and of shuffled corpora, with tail rates."""
     scratch = Scratch(spark, "treewidth")
     # Two events make a sign here, else the graph would be complete at once.
-    own = W.partitionBy(*SEGMENT).orderBy("idx")
     tokens = sequences.segments(event_tokens(spark, sf_dir), ["artifact_id"])
     tokens = tokens.withColumn("sign", F.concat("sign", F.lit("/"), F.hour("ts").cast("string"))).select("artifact_id", "seg", "idx", "event_id", "sign")
     tokens = scratch.keep(tokens, "tokens")
-    runs = nulls.shuffle_signs(nulls.with_runs(tokens, WIDTH_RUNS), "event_id", ["run"], scratch)
-    every = scratch.keep(tokens.withColumn("run", F.lit(-1).cast("bigint")).unionByName(runs.select(*tokens.columns, "run")), "runs")
-    del own
+    shuffled = nulls.shuffle_signs(nulls.with_runs(tokens, runs), "event_id", ["run"], scratch)
+    every = scratch.keep(tokens.withColumn("run", F.lit(-1).cast("bigint")).unionByName(shuffled.select(*tokens.columns, "run")), "runs")
     widths = scratch.keep(treewidth_bounds(adjacency(every, ["run", *SEGMENT], ["run"])[1], ["run"]), "widths")
     observed = widths.filter("run = -1").select(F.col("width").alias("observed"))
     null = widths.filter("run >= 0").crossJoin(F.broadcast(observed))  # one row

@@ -71,6 +71,37 @@ def _width(sequences_):
     return graph.min_degree_width(sorted(edges))
 
 
+def _width_by_sorting(edges):
+    """The documented rule with every waiting entry in one list that is sorted anew for each choice."""
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    waiting, turn, width = [(len(near[x]), k, x) for k, x in enumerate(sorted(near))], len(near), 0
+    while near:
+        waiting.sort()
+        degree, _, x = waiting.pop(0)
+        if x in near and len(near[x]) == degree:
+            width, own = max(width, degree), near.pop(x)
+            for y in sorted(own):
+                near[y] = (near[y] | own) - {x, y}
+                waiting.append((len(near[y]), turn, y))
+                turn += 1
+    return width
+
+
+def test_treewidth_ties_go_by_the_documented_rule():
+    import random
+
+    rng = random.Random(4)
+    for n in (5, 9, 14, 22):
+        for share in (0.15, 0.3, 0.6):
+            for _ in range(8):
+                names = [f"v{k:02}" for k in range(n)]
+                edges = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if rng.random() < share]
+                assert graph.min_degree_width(edges) == _width_by_sorting(edges)
+
+
 def test_treewidth_closed_forms(spark):
     assert _width([("A", "B", "C", "D")]) == 1
     assert _width([("A", "B", "C", "D", "A")]) == 2
@@ -136,7 +167,7 @@ def test_leakage_is_closed_over_chains(spark):
     got = {r.artifact: r.component for r in splits.leakage_components(df).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
     sided = df.withColumn("partition", F.when(F.col("artifact").isin("a", "d"), "test").otherwise("train"))
-    assert [(r.kind, r.value, r.train_ids, r.test_ids) for r in leakage.overlaps(sided).collect()] == [("f", "1", ["b"], ["a"])]
+    assert sorted(map(tuple, leakage.overlaps(sided).collect())) == [("f", "1", "test", "a"), ("f", "1", "train", "b")]
 
 
 def test_null_models_keep_what_they_must(spark):
