@@ -124,8 +124,8 @@ EVIDENCE = """
 evi AS (SELECT DISTINCT doc_id AS artifact, 'family' AS kind, text_hash AS value FROM docline UNION SELECT DISTINCT doc_id, 'sequence', sha256(line) FROM docline),
 sided AS (SELECT *, CASE WHEN substr(sha256('0' || chr(0) || artifact), 1, 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END AS partition FROM evi)
 """
-OVERLAP_SQL = f"""WITH {DOC}, {EVIDENCE}, both AS (SELECT kind, value FROM sided GROUP BY kind, value HAVING count(*) FILTER (partition = 'train') > 0 AND count(*) FILTER (partition = 'test') > 0)
-SELECT kind, value, partition, artifact AS doc_id FROM sided JOIN both USING (kind, value)"""
+OVERLAP_SQL = f"""WITH {DOC}, {EVIDENCE}, two_sided AS (SELECT kind, value FROM sided GROUP BY kind, value HAVING count(*) FILTER (partition = 'train') > 0 AND count(*) FILTER (partition = 'test') > 0)
+SELECT kind, value, partition, artifact AS doc_id FROM sided JOIN two_sided USING (kind, value)"""
 
 
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
