@@ -157,6 +157,32 @@ def transition_matrix(tokens: DataFrame, line: list[str], classes: list[str]) ->
     return full.withColumn("log_probability", F.ln((F.col("mass") + 1.0) / (row + len(classes))))
 
 
+def start_masses(tokens: DataFrame, line: list[str], family: str, classes: list[str]) -> DataFrame:
+    """(truth, mass, log_probability): how often lines start in each class, each family's lines sharing a weight of one; Laplace's rule."""
+    starts = tokens.filter("pos = 1").select(family, *line, "truth")
+    weighted = starts.join(starts.groupBy(family).agg((F.lit(1.0) / F.count("*")).alias("__share")), family)
+    masses = weighted.groupBy("truth").agg(F.sum("__share").alias("mass"))
+    every = tokens.sparkSession.createDataFrame([(c,) for c in classes], "truth string")  # the classes
+    full = every.join(masses, "truth", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    total = full.agg(F.sum("mass").alias("__total"))
+    return full.crossJoin(F.broadcast(total)).withColumn("log_probability", F.ln((F.col("mass") + 1.0) / (F.col("__total") + len(classes)))).drop("__total")  # one row
+
+
+def class_balance(masses: DataFrame, gamma: float) -> DataFrame:
+    """(truth, class_mass, multiplier): (mean mass / own mass)^gamma, scaled so that the total mass stays as it is."""
+    sums = masses.agg(F.sum("class_mass").alias("__total"), F.count("*").alias("__classes"))
+    raw = masses.crossJoin(F.broadcast(sums)).withColumn("__raw", F.pow(F.col("__total") / F.col("__classes") / F.col("class_mass"), F.lit(gamma)))  # one row
+    adjusted = raw.agg((F.max("__total") / F.sum(F.col("class_mass") * F.col("__raw"))).alias("__scale"))
+    return raw.crossJoin(F.broadcast(adjusted)).select("truth", "class_mass", (F.col("__raw") * F.col("__scale")).alias("multiplier"))  # one row
+
+
+def movable(units: DataFrame, unit: str) -> DataFrame:
+    """One row (units, movable, fraction): how many units share their size with another, so that a permutation can move their labels."""
+    strata = units.groupBy(unit).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    moved = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    return strata.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("units"), moved.alias("movable"), (moved / F.sum("n")).alias("fraction"))
+
+
 def viterbi(emissions: Column, start: Column, transition: Column, strength: float, states: int) -> Column:
     """Best path (state numbers from 0) of an array of emission arrays, folded inside the JVM; ties keep the lower state.
 

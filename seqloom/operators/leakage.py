@@ -26,3 +26,9 @@ def report(evidence: DataFrame) -> DataFrame:
     own = evidence.distinct()
     sides = own.groupBy("kind", "value").agg(F.count_if(F.col("partition") == "train").alias("a"), F.count_if(F.col("partition") == "test").alias("b"))
     return sides.filter("a > 0 AND b > 0").groupBy("kind").agg(F.count("*").alias("findings"), F.sum("a").alias("train_links"), F.sum("b").alias("test_links"))
+
+
+def unseen(rows: DataFrame, sequence: str) -> DataFrame:
+    """Test rows whose sequence no train row has, all columns kept; only distinct train sequences are matched. A null sequence counts as unseen."""
+    train = rows.filter(F.col("partition") == "train").select(sequence).distinct()
+    return rows.filter(F.col("partition") == "test").join(train, sequence, "left_anti").select(rows.columns)

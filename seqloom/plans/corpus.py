@@ -128,6 +128,17 @@ OVERLAP_SQL = f"""WITH {DOC}, {EVIDENCE}, two_sided AS (SELECT kind, value FROM
 SELECT kind, value, partition, artifact AS doc_id FROM sided JOIN two_sided USING (kind, value)"""
 
 
+def unseen_test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of test documents that no train document holds, word for word."""
+    lines = _with_row_split(document_lines(spark, sf_dir).withColumn("artifact", F.col("doc_id")))
+    found = leakage.unseen(lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "partition"), "line")
+    return found.select("doc_id", "line_no", F.sha2("line", 256).alias("sequence"))
+
+
+UNSEEN_SQL = f"""WITH {DOC}, sided AS (SELECT *, CASE WHEN substr(sha256('0' || chr(0) || doc_id), 1, 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END AS partition FROM docline)
+SELECT doc_id, line_no, sha256(line) AS sequence FROM sided t WHERE partition = 'test' AND NOT EXISTS (SELECT 1 FROM sided x WHERE x.partition = 'train' AND x.line = t.line)"""
+
+
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.report(_with_row_split(_document_evidence(spark, sf_dir)))
 
@@ -436,7 +447,7 @@ FROM (SELECT sha256('{name}|' || {key}) AS d FROM {name}) GROUP BY 1)"""
 
 QUERIES = {
     "unnest_tokens": unnest_tokens, "reading_order_segments": reading_order_segments, "line_fingerprints": line_fingerprints, "length_policy": length_policy_report, "manifest_counts": manifest_counts,
-    "leakage_overlap": leakage_overlap, "leakage_report": leakage_report, "leakage_components": leakage_components, "family_split": family_split, "leakage_safe_split": leakage_safe_split,
+    "leakage_overlap": leakage_overlap, "leakage_report": leakage_report, "unseen_test_lines": unseen_test_lines, "leakage_components": leakage_components, "family_split": family_split, "leakage_safe_split": leakage_safe_split,
     "leave_one_site_out": leave_one_site_out, "leave_one_object_type_out": leave_one_object_type_out, "leave_one_period_out": leave_one_period_out,
     "unigram_model": unigram_model, "unigram_heldout": unigram_heldout, "ngram_counts": ngram_counts, "bigram_heldout": bigram_heldout, "masked_sign_scores": masked_sign_scores,
     "global_shuffle": global_shuffle, "within_shuffle": within_shuffle, "iid_draws": iid_draws, "shuffle_null_summary": shuffle_null_summary, "empirical_p": empirical_p_values,
@@ -444,7 +455,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "unnest_tokens": UNNEST_SQL, "reading_order_segments": SEGMENTS_SQL, "line_fingerprints": FINGERPRINT_SQL, "length_policy": LENGTH_SQL, "manifest_counts": MANIFEST_SQL,
-    "leakage_overlap": OVERLAP_SQL, "leakage_report": REPORT_SQL, "leakage_components": COMPONENTS_SQL, "family_split": FAMILY_SQL, "leakage_safe_split": SAFE_SQL,
+    "leakage_overlap": OVERLAP_SQL, "leakage_report": REPORT_SQL, "unseen_test_lines": UNSEEN_SQL, "leakage_components": COMPONENTS_SQL, "family_split": FAMILY_SQL, "leakage_safe_split": SAFE_SQL,
     "leave_one_site_out": _leave_sql("documents", "source", "sha256(text)"), "leave_one_object_type_out": _leave_sql("documents", "lang", "sha256(text)"),
     "leave_one_period_out": _leave_sql("events", "strftime(ts, '%Y-%m')", "user_id"),
     "unigram_model": UNIGRAM_SQL, "unigram_heldout": UNIGRAM_HELDOUT_SQL, "ngram_counts": NGRAM_SQL, "bigram_heldout": BIGRAM_SQL, "masked_sign_scores": MASKED_SQL,

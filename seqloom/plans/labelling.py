@@ -211,6 +211,36 @@ tr AS (SELECT *, ln((mass + 1) / (sum(mass) OVER (PARTITION BY previous) + (SELE
 TRANSITION_SQL = f"WITH {TRANSITION} SELECT previous, following, round(mass, 6) AS mass, round(lp, 6) AS log_probability FROM tr"
 
 
+def start_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lab.start_masses(lines(spark, sf_dir), LINE, "family", classes(spark, sf_dir))
+    return found.select("truth", F.round("mass", 6).alias("mass"), F.round("log_probability", 6).alias("log_probability"))
+
+
+START_SQL = f"""WITH {LINES}, s AS (SELECT family, truth, 1.0::DOUBLE / count(*) OVER (PARTITION BY family) AS share FROM ev WHERE pos = 1),
+k AS (SELECT truth, coalesce(mass, 0) AS mass FROM (SELECT DISTINCT truth FROM ev) LEFT JOIN (SELECT truth, sum(share) AS mass FROM s GROUP BY truth) USING (truth))
+SELECT truth, round(mass, 6) AS mass, round(ln((mass + 1) / (sum(mass) OVER () + count(*) OVER ())), 6) AS log_probability FROM k"""
+
+
+def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipliers that halve the classes' imbalance, of family-weighted tokens that can be read."""
+    rows = lab.family_weights(lines(spark, sf_dir).filter("form IS NOT NULL"), "family")
+    found = lab.class_balance(lab.class_masses(rows), 0.5)
+    return found.select("truth", F.round("class_mass", 6).alias("class_mass"), F.round("multiplier", 6).alias("multiplier"))
+
+
+BALANCE_SQL = f"""WITH {LINES}, w AS (SELECT truth, 1.0::DOUBLE / count(*) OVER (PARTITION BY family) AS weight FROM ev WHERE form IS NOT NULL),
+m AS (SELECT truth, sum(weight) AS mass FROM w GROUP BY truth), r AS (SELECT *, sqrt(sum(mass) OVER () / count(*) OVER () / mass) AS raw FROM m)
+SELECT truth, round(mass, 6) AS class_mass, round(raw * sum(mass) OVER () / sum(mass * raw) OVER (), 6) AS multiplier FROM r"""
+
+
+def movable_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lab.movable(_vectors(spark, sf_dir), "unit").select("units", "movable", F.round("fraction", 9).alias("fraction"))
+
+
+MOVABLE_SQL = f"""WITH {LINES}, z AS (SELECT artifact_id, day, count(*) AS size FROM ev GROUP BY artifact_id, day), g AS (SELECT size, count(*) AS n FROM z GROUP BY size)
+SELECT CAST(sum(n) AS BIGINT) AS units, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS movable, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 9) AS fraction FROM g"""
+
+
 def viterbi_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best path of each day line under naive Bayes emissions of its forms and the transition matrix."""
     names = classes(spark, sf_dir)
@@ -330,11 +360,13 @@ SELECT round(observed, 6) AS observed, round(avg(f1), 6) AS null_mean, round((1
 QUERIES = {
     "structural_features": structural_features, "degrade_tokens": degrade_tokens, "nested_degradation_check": nested_degradation_check, "nb_masses": nb_masses, "nb_predictions": nb_predictions,
     "majority_baseline": majority_baseline, "weighted_confusion": weighted_confusion, "state_metrics": state_metrics, "gate_decision": gate_decision, "family_coverage": family_coverage,
+    "start_masses": start_masses, "class_balance": class_balance, "movable_fraction": movable_fraction,
     "transition_matrix": transition_matrix, "viterbi_states": viterbi_states, "type_profile_lofo": type_profile_lofo, "context_entropy": context_entropy, "family_support": family_support,
     "grouped_folds": grouped_folds, "one_se_selection": one_se_selection, "family_label_permutation": family_label_permutation, "permutation_null_f1": permutation_null_f1,
 }
 ORACLE_SQL = {
     "structural_features": FEATURES_SQL, "degrade_tokens": DEGRADE_SQL, "nested_degradation_check": NESTED_SQL, "nb_masses": MASSES_SQL, "nb_predictions": PREDICTIONS_SQL, "majority_baseline": MAJORITY_SQL,
     "weighted_confusion": CONFUSION_SQL, "state_metrics": METRICS_SQL, "gate_decision": GATE_SQL, "family_coverage": COVERAGE_SQL, "transition_matrix": TRANSITION_SQL, "type_profile_lofo": LOFO_SQL,
+    "start_masses": START_SQL, "class_balance": BALANCE_SQL, "movable_fraction": MOVABLE_SQL,
     "context_entropy": ENTROPY_SQL, "family_support": SUPPORT_SQL, "one_se_selection": ONE_SE_SQL, "family_label_permutation": PERMUTATION_SQL, "permutation_null_f1": PERMUTED_F1_SQL,
 }
