@@ -207,3 +207,23 @@ def test_lowest_takes_the_first_digests(spark):
     want = sorted(keys, key=lambda k: hashlib.sha256(f"5\0{k}".encode()).hexdigest())
     for k in (0, 1, 77, 500, 600):
         assert {r.key for r in ranking.lowest(df, "key", 5, k).collect()} == set(want[:k])
+
+
+def test_components_match_disjoint_sets(spark):
+    """Chains, stars, cycles, repeated links, self-loops and null ends against a plain union-find."""
+    rng = random.Random(5)
+    shapes = {
+        "empty": [],
+        "star": [(k, 0) for k in range(1, 40)],
+        "chain": [(k, k + 1) for k in range(64)],
+        "mixed": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(7, 7), (None, 3), (4, None)] * 2 + [(1000 + k, 1000 + (k + 1) % 9) for k in range(9)],
+        "two centres": [(9, 1), (9, 2), (8, 2), (1000, 8)],
+    }
+    for name, pairs in shapes.items():
+        least = {x: x for u, v in pairs if u is not None and v is not None for x in (u, v)}
+        for _ in least:
+            for u, v in pairs:
+                if u is not None and v is not None:
+                    least[u] = least[v] = min(least[u], least[v])
+        got = graph.connected_components(spark, spark.createDataFrame(pairs, "u bigint, v bigint"))
+        assert {r.node: r.component for r in got.collect()} == least, name
