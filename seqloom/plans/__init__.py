@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("corpus", "labelling", "statistics", "metadata", "documents")
+_MODULES = ("corpus", "labelling", "statistics", "metadata", "documents", "selection")
 
 
 def registered() -> tuple[dict, dict]:
