@@ -77,8 +77,8 @@ def line_loss(w: np.ndarray, layout: Layout, rows: list[list[int]], gold: list[i
     return weight * (z - float(score))
 
 
-def objective(lines: DataFrame, layout: Layout) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """Loss and gradient over lines (features array<array<int>>, states array<int>, weight), ridge included."""
+def objective(lines: DataFrame, layout: Layout, alike: list[tuple[str, str]] | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Loss and gradient over lines (features array<array<int>>, states array<int>, weight), ridge included, and contrast_ridge for states to be kept alike."""
     spark = lines.sparkSession
     ship_package(spark)
 
@@ -97,8 +97,9 @@ def objective(lines: DataFrame, layout: Layout) -> Callable[[np.ndarray], tuple[
         parts = lines.select("features", "states", "weight").mapInArrow(run, "loss double, gradient binary").withColumn("p", F.spark_partition_id()).collect()
         parts.sort(key=lambda r: r.p)  # sums in one order give the same model each time
         sent.unpersist()
-        total = sum((np.frombuffer(r.gradient) for r in parts), RIDGE * w)
-        return sum(r.loss for r in parts) + 0.5 * RIDGE * float(w @ w), total
+        extra, slope = contrast_ridge(layout, w, alike or [])
+        total = sum((np.frombuffer(r.gradient) for r in parts), RIDGE * w + slope)
+        return sum(r.loss for r in parts) + 0.5 * RIDGE * float(w @ w) + extra, total
 
     return evaluate
 
@@ -166,8 +167,8 @@ def encode(tokens: DataFrame, line: list[str], features: list[str], layout: Layo
     )
 
 
-def fit(tokens: DataFrame, line: list[str], features: list[str], states: list[str], least: int = 2, steps: int = 100) -> Crf:
-    """Fit on tokens with pos, truth, weight and text features; a value must occur `least` times to be a feature."""
+def fit(tokens: DataFrame, line: list[str], features: list[str], states: list[str], least: int = 2, steps: int = 100, alike: list[tuple[str, str]] | None = None) -> Crf:
+    """Fit on tokens with pos, truth, weight and text features; a value must occur `least` times to be a feature. alike: states whose emissions are kept close."""
     scratch = Scratch(tokens.sparkSession, "crf")
     names = tokens.select(F.explode(F.array(*(F.concat(F.lit(f"{f}="), F.col(f)) for f in features))).alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     most = MOST_PARAMETERS // max(1, len(states))
@@ -176,7 +177,7 @@ def fit(tokens: DataFrame, line: list[str], features: list[str], states: list[st
         raise ValueError("more features than MOST_PARAMETERS allows; raise `least`")
     layout = Layout(states, {n: k for k, n in enumerate(vocabulary)})
     lines = scratch.keep(encode(tokens, line, features, layout), "lines")
-    w, loss, done = minimize(objective(lines, layout), np.zeros(layout.size), steps)
+    w, loss, done = minimize(objective(lines, layout, alike), np.zeros(layout.size), steps)
     return Crf(layout, w, loss, done)
 
 

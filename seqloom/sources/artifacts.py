@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -44,8 +46,37 @@ class StrictJsonError(ValueError):
     """JSON that has a key twice, a number that isn't finite, or isn't JSON."""
 
 
-def strict_json(text: str) -> Any:
-    """Parse JSON in which every key occurs once in its object and every number is finite."""
+@dataclass(frozen=True)
+class JsonLimits:
+    """Most bytes in UTF-8, most levels below the root, and most values of all kinds, the root included."""
+
+    size: int = 1 << 26
+    depth: int = 256
+    values: int = 1 << 20
+
+
+#: A string that is not closed runs to the end, so that no character is looked at twice.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)', re.S)
+_SIGN = re.compile(r"[\[{]\s*+[\]}]|[\[{\]},]")
+
+
+def check_limits(text: str, limits: JsonLimits) -> None:
+    """Fail on JSON beyond the limits before any of it is parsed: brackets and commas outside strings tell levels and values."""
+    if len(text) > limits.size or len(text.encode("utf-8", "surrogatepass")) > limits.size:
+        raise StrictJsonError(f"more than {limits.size} bytes")
+    level, values = 0, 1
+    for sign in _SIGN.finditer(_STRING.sub('""', text)):
+        own = sign.group()
+        values += own in "[{,"
+        level += (own in "[{") - (own in "]}")
+        if level > limits.depth or values > limits.values:
+            raise StrictJsonError(f"more than {limits.depth} levels or {limits.values} values")
+
+
+def strict_json(text: str, limits: JsonLimits | None = None) -> Any:
+    """Parse JSON in which every key occurs once in its object and every number is finite; limits are checked first."""
+    if limits:
+        check_limits(text, limits)
 
     def once(pairs: list[tuple[str, Any]]) -> dict:
         made = dict(pairs)
@@ -62,7 +93,7 @@ def strict_json(text: str) -> Any:
 
     try:
         return json.loads(text, object_pairs_hook=once, parse_float=finite, parse_constant=finite)
-    except json.JSONDecodeError as error:
+    except (json.JSONDecodeError, RecursionError) as error:
         raise StrictJsonError(str(error)) from error
 
 
@@ -81,8 +112,8 @@ def json_document(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
-def checked_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text, canonical, error) of a JSON Lines file, each line judged by strict_json.
+def checked_lines(spark: SparkSession, path: str, limits: JsonLimits = JsonLimits()) -> DataFrame:  # noqa: B008 (frozen)
+    """(file, line, text, canonical, error) of a JSON Lines file, each line judged by strict_json within the limits.
 
     Spark's own reader keeps the last of two equal keys without a word, so lines are
     read as text and parsed by Python in batches. Line numbers count within a file,
@@ -98,7 +129,7 @@ def checked_lines(spark: SparkSession, path: str) -> DataFrame:
             errors: list[str | None] = []
             for text in batch.column("text").to_pylist():
                 try:
-                    canonical.append(canonical_json(strict_json(text)))
+                    canonical.append(canonical_json(strict_json(text, limits)))
                     errors.append(None)
                 except (StrictJsonError, ValueError) as error:
                     canonical.append(None)

@@ -41,6 +41,9 @@ def test_fit_and_decode(spark):
     assert {r.line: r.path for r in found.collect()} == want
     again = crf.fit(tokens.repartition(3), ["line"], ["form"], ["x", "y"], steps=30)
     assert np.allclose(again.weights, model.weights, atol=1e-6)
+    emissions = lambda m: m.layout.split(m.weights)[0]
+    close = crf.fit(tokens, ["line"], ["form"], ["x", "y"], steps=30, alike=[("x", "y")])
+    assert np.abs(np.subtract(*emissions(close))).sum() < np.abs(np.subtract(*emissions(model))).sum()
 
 
 def test_contrast_penalty_gradient():

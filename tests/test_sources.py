@@ -57,6 +57,25 @@ def test_token_and_line_rules(spark, tmp_path):
     assert severities["direction_order_conflict"] == "warning" and severities["invalid_confidence"] == "error"
 
 
+def test_json_limits_equal_a_walk():
+    def walk(value, depth=0):
+        below = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        found = [walk(v, depth + 1) for v in below]
+        return max([depth, *(d for d, _ in found)]), 1 + sum(n for _, n in found)
+
+    for text in ("1", "[]", "[ ]", "{}", "[1,2]", '{"a":[{"b":[]},"],[{"],"c":"\\""}', '[[[[1]]],{"x":{"y":null}}]', '"[[["'):
+        depth, values = walk(json.loads(text))
+        size = len(text)
+        artifacts.strict_json(text, artifacts.JsonLimits(size, depth, values))
+        for less in ((size - 1, depth, values), (size, depth - 1, values), (size, depth, values - 1)):
+            if depth or less[1] >= 0 and less[2] >= 1:
+                with pytest.raises(artifacts.StrictJsonError, match="more than"):
+                    artifacts.strict_json(text, artifacts.JsonLimits(*less))
+    for text in ("[" * 100_000, '"' + '\\"' * 200_000, "\\"):
+        with pytest.raises(artifacts.StrictJsonError):
+            artifacts.strict_json(text, artifacts.JsonLimits())
+
+
 def test_strict_json_says_what_is_wrong(spark, tmp_path):
     for text, word in (('{"a":1,"a":2}', "twice"), ('{"a":NaN}', "finite"), ('{"a":1e999}', "finite"), ("{", "Expecting")):
         with pytest.raises(artifacts.StrictJsonError, match=word):
