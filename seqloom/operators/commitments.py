@@ -10,14 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def order_free_digest(rows: DataFrame, digest: Column) -> DataFrame:
-    """One row (digest, rows): row digests sorted and digested by their first letters, and those once more.
+def order_free_digest(rows: DataFrame, digest: Column, most: float = 1 << 16) -> DataFrame:
+    """One row (digest, rows): row digests sorted and digested by their first letters, and those by fewer letters until one is left.
 
-    No task holds more than the digests that share three letters.
+    The letters follow from the number of rows, three for up to most * 16^3 of them
+    and three more for each 16^3 times as many, so that a group holds about `most`
+    row digests, or 16^3 digests of groups, in a table of any size.
     """
-    parts = rows.select(digest.alias("d")).groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("part"), F.count("*").alias("n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), "")
-    return parts.agg(F.sha2(joined, 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    total, letters = rows.count(), 3
+    while total > most * 16**letters:
+        letters += 3
+    parts = rows.select(digest.alias("d")).groupBy(F.substring("d", 1, letters).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("part"), F.count("*").alias("n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), ""), 256)
+    while letters > 3:
+        letters -= 3
+        parts = parts.groupBy(F.substring("p", 1, letters).alias("q")).agg(joined.alias("part"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return parts.agg(joined.alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 def tree_commitment(inventory: DataFrame, root: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import family_key, group_text, image_hash
 from seqloom.operators import language_models as lm
 from seqloom.operators import leakage, nulls, quarantine, sequences, splits, validation
+from seqloom.operators.commitments import order_free_digest
 from seqloom.operators.graph import adjacency, treewidth_bounds
 from seqloom.runtime import Scratch
 from seqloom.sources import artifacts
@@ -63,8 +64,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     for name, value in (("site", group_text(F.col("site.site_id"))), ("period", group_text(F.col("period.phase"), F.col("period.label"))), ("object_type", group_text(F.col("object.object_type")))):
         own = records.groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("group"), "value", "n")
         groups = own if groups is None else groups.unionByName(own)
-    digest = records.select(F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256).alias("d")).groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("part"))
-    one = digest.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), ""), 256).alias("corpus_sha256"))
+    one = order_free_digest(records, F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256)).select(F.col("digest").alias("corpus_sha256"))
     listed = groups.agg(F.array_sort(F.collect_list(F.struct("group", "value", "n"))).alias("groups"))
     return total.crossJoin(one).crossJoin(listed)  # three one-row tables
 

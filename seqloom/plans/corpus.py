@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import keyed_digest
 from seqloom.operators import language_models as lm
-from seqloom.operators import leakage, nulls, sequences, splits
+from seqloom.operators import commitments, leakage, nulls, sequences, splits
 from seqloom.operators.graph import adjacency, treewidth_bounds
 from seqloom.operators.ranking import holdout_size
 from seqloom.runtime import Scratch
@@ -426,14 +426,13 @@ def treewidth_null(spark: SparkSession, sf_dir: str, runs: int = WIDTH_RUNS) ->
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-free digest of each small table: row digests, sorted, digested by first letter and once more.
 
-    Digests are grouped by their first three letters, so no task holds all of them.
+    Digests are grouped by their first letters, so no task holds all of them.
     """
     out = None
     for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey")):
         rows = table(spark, sf_dir, name)
         digest = rows.select(F.sha2(F.concat_ws("|", F.lit(name), F.col(key).cast("string")), 256).alias("d"))
-        parts = digest.groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("part"), F.count("*").alias("n"))
-        one = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), ""), 256).alias("digest"), F.sum("n").alias("rows"))
+        one = commitments.order_free_digest(digest, F.col("d"))
         one = one.select(F.lit(name).alias("name"), "rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out

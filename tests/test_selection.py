@@ -1,8 +1,10 @@
 """Closures, pairings, added confusions and primary members on small cases, wrong ones too."""
 
+import hashlib
+
 import pytest
 
-from seqloom.operators import selection
+from seqloom.operators import commitments, selection
 
 
 def _closure(spark, groups):
@@ -39,3 +41,22 @@ def test_primary_members(spark):
     got = selection.primary_members(rows, "group", "member", 0).collect()
     assert [r.group for r in got] == ["g"] and got[0].member in (1, 2)
     assert selection.representatives(rows, "group", "member").filter("group = 'g'").first().replicas == 3
+
+
+def test_order_free_digest_by_levels(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    keys = [sha(str(k)) for k in range(300)] + [sha("7")]
+
+    def level(parts, letters):
+        groups = {}
+        for p, d in sorted(parts):
+            groups.setdefault(p[:letters], []).append(d)
+        return [(p, sha("".join(ds))) for p, ds in groups.items()]
+
+    rows = spark.createDataFrame([(k,) for k in keys], "d string").repartition(3)
+    two = level([(k, k) for k in keys], 3)
+    three = level(level([(k, k) for k in keys], 6), 3)
+    for most, parts in ((1, two), (0.01, three)):
+        got = commitments.order_free_digest(rows, rows["d"], most).first()
+        assert (got.digest, got.rows) == (level(parts, 0)[0][1], 301)
+    assert commitments.order_free_digest(rows.limit(0), rows["d"]).first().rows == 0
