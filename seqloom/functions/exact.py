@@ -46,6 +46,12 @@ def round_root(c: int, r: int, places: int = 12) -> int:
     return (1 if c >= 0 else -1) * (whole + up)
 
 
+@F.pandas_udf(T.StringType())
+def product(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The product of two integers in text, of any length."""
+    return pd.Series([None if x is None or y is None else str(int(x) * int(y)) for x, y in zip(a, b)], dtype="object")
+
+
 @F.pandas_udf(T.IntegerType())
 def rho_at_least(covariance: pd.Series, radicand: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """1, 0 or -1 as covariance / sqrt(radicand) is above, at or below a / b; null where the radicand isn't positive."""

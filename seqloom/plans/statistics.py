@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.exact import rho_at_least, rho_text
+from seqloom.functions.exact import product, rho_at_least, rho_text
 from seqloom.operators import rank_statistics as rs
 from seqloom.runtime import Scratch
 from seqloom.sources.tables import table
@@ -48,8 +48,7 @@ def spearman_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rho to 12 places and its exact order against thresholds, by Python integers on one row."""
     scratch = Scratch(spark, "threshold")
     state = rs.spearman_state(_customer_pairs(spark, sf_dir, scratch), "r_orders", "r_largest")
-    product = F.expr("CAST(CAST(variance_left AS DECIMAL(19,0)) * CAST(variance_right AS DECIMAL(19,0)) AS STRING)")
-    row = state.select(F.col("covariance").cast("string").alias("c"), product.alias("r"))
+    row = state.select(F.col("covariance").cast("string").alias("c"), product(F.col("variance_left").cast("string"), F.col("variance_right").cast("string")).alias("r"))
     limits = spark.createDataFrame([(1, 10), (2, 5), (9, 10)], "a int, b int")
     return row.crossJoin(F.broadcast(limits)).select("a", "b", rho_at_least("c", "r", "a", "b").alias("relation"), F.round(rho_text("c", "r").cast("double"), 9).alias("rho"))
 
