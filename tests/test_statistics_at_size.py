@@ -41,6 +41,14 @@ def test_resamples_of_many_rows(spark):
     assert all(abs(rho - _resampled(run)) < 1e-12 for run, (_, rho) in got.items())
 
 
+def test_endpoint_of_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(statistics, "BOOTSTRAP_RUNS", 3)
+    k = F.col("id")
+    spark.range(ROWS).select(k.alias("c_custkey"), F.concat(F.lit("c"), k % 3).alias("c_mktsegment"), k.cast("double").alias("c_acctbal"), k.cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = statistics.bootstrap_endpoint(spark, str(tmp_path)).first()
+    assert got.place == 3 and abs(got.lower - max(_resampled(run) for run in range(3))) < 1e-6
+
+
 def test_threshold_of_many_rows(spark, tmp_path):
     many = np.arange(ROWS * 3 // 2)
     owner, price = many % ROWS, many * 7919 % ROWS
