@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.runtime import ship_package
 
+#: Pairs of a lane whose chain lengths are held at once.
+HELD = 1 << 20
+
 
 def interval_candidates(points: DataFrame, intervals: DataFrame, lane: list[str], width: int) -> DataFrame:
     """Pairs of points (anchor) and half-open intervals [y0, y1) of the same lane.
@@ -21,47 +27,70 @@ def interval_candidates(points: DataFrame, intervals: DataFrame, lane: list[str]
     return p.join(i, [*lane, "__band"]).filter("anchor >= y0 AND anchor < y1").drop("__band")
 
 
+def _alive(anchors: np.ndarray, y0: np.ndarray, y1: np.ndarray, first: int, last: int) -> Iterator[np.ndarray]:
+    """For each of the anchors first to last - 1 the places of the spans that hold it, ascending."""
+    upto = np.searchsorted(y0, anchors[first:last], "right")
+    open_, seen = np.zeros(0, np.int64), 0
+    for at, p in zip(anchors[first:last], upto):
+        open_ = np.concatenate([open_, np.arange(seen, p)]) if p > seen else open_
+        open_, seen = open_[y1[open_] > at], int(p)
+        yield open_
+
+
+def _lengths(ends: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """How long a chain can end at each of the ascending places held; ends[k], which follows, is the least place at which one of k ends."""
+    length = np.searchsorted(ends, held, "left")
+    new = np.r_[True, length[1:] > length[:-1]]  # the first of each length is the least
+    ends[length[new]] = np.minimum(ends[length[new]], held[new])
+    return length
+
+
 def ordered_matchings(anchors: list[int], spans: list[tuple[int, int]]) -> tuple[int, int, list[tuple[int, int]]]:
     """Size of the largest one-to-one, order-keeping matching, how many there are (2: more than one), and one of them.
 
-    anchors and spans are sorted. Counting pairs of distinct matchings, not paths:
-    a matching is counted where its first pair stands.
+    anchors and spans are sorted. A matching is a chain of pairs (anchor, span that
+    holds it) that ascends in both; each anchor's pairs look up how long a chain may
+    end at them (and, from behind, start) among the least ends of chains of each
+    length. There is one largest matching if as many pairs lie on largest ones as
+    it has. Time goes with the pairs, not with anchors times spans; memory holds
+    the lengths of HELD pairs, as those of a block of anchors are found once more
+    on the way back.
     """
     n, m = len(anchors), len(spans)
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best = max(size[i + 1][j], size[i][j + 1])
-            if spans[j][0] <= anchors[i] < spans[j][1]:
-                best = max(best, 1 + size[i + 1][j + 1])
-            size[i][j] = best
-    # ways[i][j]: matchings of full size that use only anchors from i and spans from j, up to 2.
-    ways = [[1] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            if not size[i][j]:
+    at, (y0, y1) = np.array(anchors, np.int64), np.array(spans, np.int64).reshape(-1, 2).T
+    least = min(n, m) + 2
+    ends = np.full(least, m, np.int64)
+    ends[0] = -1
+    blocks, pairs = [(0, ends.copy())], 0
+    for i, held in enumerate(_alive(at, y0, y1, 0, n)):
+        if pairs and pairs + len(held) > HELD:
+            blocks.append((i, ends.copy()))
+            pairs = 0
+        pairs += len(held)
+        if len(held):
+            _lengths(ends, held)
+    size = int(np.count_nonzero(ends < m)) - 1
+    back = np.full(least, m, np.int64)  # places counted from behind
+    back[0] = -1
+    on, chain, after, want = 0, [], m, size
+    stop = n
+    for first, before in reversed(blocks):
+        rows = [(held, _lengths(before, held) if len(held) else held) for held in _alive(at, y0, y1, first, stop)]
+        for i in range(stop - 1, first - 1, -1):
+            held, length = rows[i - first]
+            if not len(held):
                 continue
-            total = 0
-            if size[i + 1][j] == size[i][j]:
-                total += ways[i + 1][j]  # without anchor i
-            for k in range(j, m):  # anchor i takes span k
-                if spans[k][0] <= anchors[i] < spans[k][1] and 1 + size[i + 1][k + 1] == size[i][j]:
-                    total += ways[i + 1][k + 1]
-            ways[i][j] = min(2, total)
-    pairs, i, j = [], 0, 0
-    while i < n and j < m and size[i][j]:
-        if spans[j][0] <= anchors[i] < spans[j][1] and 1 + size[i + 1][j + 1] == size[i][j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] == size[i][j]:
-            i += 1
-        else:
-            j += 1
-    return size[0][0], ways[0][0], pairs
+            rest = _lengths(back, m - 1 - held[::-1])[::-1]
+            on += int(np.count_nonzero(length + rest == size + 1))
+            if want and len(fits := held[(length == want) & (held < after)]):
+                after, want = int(fits[-1]), want - 1
+                chain.append((i, after))
+        stop = first
+    return size, 1 + (on > size), chain[::-1]
 
 
 def lane_scores(points: DataFrame, intervals: DataFrame, lane: list[str]) -> DataFrame:
-    """For each lane: predictions, references, matched, ambiguous. A lane's table of sizes is one task's work."""
+    """For each lane: predictions, references, matched, ambiguous. A lane is one task's work."""
     ship_package(points.sparkSession)
     kinds = dict(points.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in lane) + ", predictions bigint, references bigint, matched bigint, ambiguous boolean"

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -132,6 +133,42 @@ def test_ordered_matchings_equal_brute_force():
         assert size == best == len(pairs) and (ways > 1) == (count > 1)
 
 
+def _matchings_by_table(anchors, spans):
+    """Size and number (up to 2) of largest matchings by the table over anchors and spans."""
+    n, m = len(anchors), len(spans)
+    size = [[0] * (m + 1) for _ in range(n + 1)]
+    ways = [[1] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            takes = [k for k in range(j, m) if spans[k][0] <= anchors[i] < spans[k][1]]
+            size[i][j] = max([size[i + 1][j], *(1 + size[i + 1][k + 1] for k in takes)])
+            if size[i][j]:
+                ways[i][j] = min(2, (size[i + 1][j] == size[i][j]) * ways[i + 1][j] + sum(ways[i + 1][k + 1] for k in takes if 1 + size[i + 1][k + 1] == size[i][j]))
+    return size[0][0], ways[0][0]
+
+
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_ordered_matchings_equal_the_table(monkeypatch, held):
+    monkeypatch.setattr(matching, "HELD", held)
+    rng = random.Random(11)
+    for k in range(300):
+        wide = rng.choice((15, 60, 400))
+        anchors = sorted(rng.randrange(wide) for _ in range(rng.randrange(25)))
+        spans = sorted((a, a + rng.randrange(1, rng.choice((3, 20)))) for a in (rng.randrange(wide) for _ in range(rng.randrange(25))))
+        size, ways, pairs = matching.ordered_matchings(anchors, spans)
+        assert (size, min(ways, 2)) == _matchings_by_table(anchors, spans) and len(pairs) == size
+        assert all(spans[j][0] <= anchors[i] < spans[j][1] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_ordered_matchings_of_a_long_lane():
+    rng = random.Random(12)
+    anchors = sorted(rng.randrange(86400) for _ in range(4000))
+    spans = sorted((a, a + rng.randrange(1, 6000)) for a in (rng.randrange(86400) for _ in range(4000)))
+    began = time.process_time()
+    assert 3000 < matching.ordered_matchings(anchors, spans)[0] <= 4000
+    assert time.process_time() - began < 20  # 16 million cells in Python take longer
+
+
 def test_monotone_alignment_is_lexicographic():
     rng = random.Random(7)
     for _ in range(200):
