@@ -1,7 +1,10 @@
-"""Near copies by the exact Jaccard similarity of their five-word shingles.
+"""Near copies by BK-trees over SimHash and by MinHash, decided by the exact Jaccard similarity of five-word shingles.
 
-Candidates come from MinHash bands: of BANDS bands of ROWS minima each, two texts of
-similarity s agree on at least one with probability 1 - (1 - s^ROWS)^BANDS, 0.99995
+Candidates come from BK-trees over SimHash fingerprints of the shingles (`simhash.links`):
+texts whose fingerprints are joined by steps of three bits or fewer are a bucket.
+Two texts of similarity 0.8 differ in about ten bits, beyond what such trees can ask
+for, so MinHash bands give the rest: of BANDS bands of ROWS minima each, two texts
+of similarity s agree on at least one with probability 1 - (1 - s^ROWS)^BANDS, 0.99995
 at 0.8. Within a bucket texts are compared by their whole shingle sets, so nothing
 below SIMILARITY is linked. Buckets with the same members are compared once.
 
@@ -22,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm import simhash
 from seqloom.llm.common import distinct_name, map_batches
 from seqloom.operators.graph import connected_components
-from seqloom.runtime import Scratch, ship_package
+from seqloom.runtime import Scratch, attach, ship_package
 
 SEED, SHINGLE = 42, 5
 #: Texts of a bucket that are compared in one task.
@@ -35,13 +39,18 @@ BANDS, ROWS = 25, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct hashes of word shingles, ascending; fewer words than a shingle has make one, no words too."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of word shingles, repeats included; fewer words than a shingle has make one, no words too."""
     words = (text or "").encode().lower().split()
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     joined = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(words) - SHINGLE + 1))
+    return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(words) - SHINGLE + 1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes of word shingles, ascending."""
+    return np.unique(shingle_hashes(text))
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -125,26 +134,44 @@ def compare_asked(key: tuple, members: pa.Table) -> pa.Table:
     return _pairs(found)
 
 
+def tree_buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text_hash, bucket) of distinct rows (text_hash, fp): one bucket for all that BK-trees over the fingerprints join."""
+    spark = prints.sparkSession
+    prints = scratch.keep(prints, "prints")
+    sizes = scratch.keep(prints.groupBy("fp").agg(F.count("*").alias("size")), "sizes")
+    found = scratch.keep(simhash.links(sizes, scratch), "tree-links")
+    joined = connected_components(spark, found, scratch).withColumnRenamed("node", "fp")
+    groups = scratch.keep(sizes.join(joined, "fp", "left").select("fp", "size", F.coalesce("component", "fp").alias("component")), "groups")
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return attach(prints, groups, "fp", "size", total).select("text_hash", F.xxhash64("component", F.lit(BANDS)).alias("bucket"))
+
+
 def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v): links between text hashes that connect all texts at least SIMILARITY alike. rows: doc_id, text, text_hash."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [bands(shingles(t)) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], names=["text_hash", "bands"])
+            prints, found = [], []
+            for text in batch.column("text").to_pylist():
+                own = shingle_hashes(text)
+                prints.append(simhash.of_hashes(own))
+                found.append(bands(np.unique(own)))
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column("text_hash"), fp, pa.array(found, pa.list_(pa.int64()))], names=["text_hash", "fp", "bands"])
 
         return each
 
     ship_package(rows.sparkSession)
-    banded = scratch.keep(map_batches(rows.select("text", "text_hash"), "text_hash bigint, bands array<bigint>", make), "bands")
-    dealt = banded.select("text_hash", F.explode("bands").alias("bucket"))
+    banded = scratch.keep(map_batches(rows.select("text", "text_hash"), "text_hash bigint, fp bigint, bands array<bigint>", make), "bands")
+    near = scratch.keep(tree_buckets(banded.select("text_hash", "fp").distinct(), scratch), "trees")
+    dealt = banded.select("text_hash", F.explode("bands").alias("bucket")).unionByName(near)
     one, two = F.xxhash64("text_hash"), F.xxhash64("text_hash", F.lit(1))
     buckets = dealt.distinct().groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two")).filter("members > 1")
     buckets = buckets.groupBy("members", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
     # Of rows with equal texts the one with the smallest doc_id stands for all.
     one = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"))
     members = scratch.keep(dealt.join(buckets, "bucket").distinct().join(one, "text_hash"), "members")
-    texts = rows.select("doc_id", "text", F.col("text_hash").alias("of_hash"))
+    texts = rows.select("doc_id", "text", F.col("text_hash").alias("of_hash")).hint("merge")
 
     def with_text(some: DataFrame) -> DataFrame:
         return some.join(texts, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("bucket", "members", "text_hash", "text")
@@ -182,4 +209,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     key_id, key_hash = distinct_name(docs, "gone_id"), distinct_name(docs, "gone_hash")
     gone = ids.join(least, "component").filter("doc_id <> least").select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)).distinct()
     gone = scratch.keep(gone, "gone")
+    # A merge join whatever its size: a broadcast would end once many rows go, and disk then jumps.
+    gone = gone.hint("merge")
     return docs.join(gone, (docs["doc_id"] == gone[key_id]) & (F.xxhash64(docs["text"].cast("string")) == gone[key_hash]), "left_anti")

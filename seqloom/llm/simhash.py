@@ -57,6 +57,15 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(own: np.ndarray) -> int:
+    """The fingerprint of shingle hashes that are there already: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(own), 1 << 16):
+        part = np.ascontiguousarray(own[start : start + (1 << 16)], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp): fp as the signed number with the fingerprint's bits."""
 

@@ -3,7 +3,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from seqloom.llm import near_text
+from seqloom.llm import near_text, simhash
+from seqloom.runtime import Scratch
 
 
 @pytest.mark.parametrize("part", [2000, 4])
@@ -38,3 +39,27 @@ def test_the_stage_drops_what_is_four_fifths_alike(spark, monkeypatch, part):
     want = sorted(str(d) for k, (d, _) in enumerate(docs) if d is None or docs[least[k]][0] == d)
     got = sorted(str(r.doc_id) for r in corpus_pipeline.near_filter(spark, df, "").collect())
     assert got == want and 120 < len(got) < 190
+
+
+def test_trees_over_fingerprints_give_candidates(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, 400))]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:-1], "else", "than"])]
+    prints = [simhash.of_hashes(near_text.shingle_hashes(t)) for t in texts]
+    assert prints == [simhash.fingerprint(t, near_text.SHINGLE) for t in texts]
+    least = list(range(len(prints)))
+    for _ in range(3):
+        for a in range(len(prints)):
+            for b in range(len(prints)):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    least[a] = least[b] = min(least[a], least[b])
+    rows = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "text_hash long, fp long").repartition(3)
+    got = {}
+    for r in near_text.tree_buckets(rows, Scratch(spark, "trees-test")).collect():
+        got.setdefault(r.bucket, set()).add(r.text_hash)
+    want = {}
+    for k, c in enumerate(least):
+        want.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(prints) - 50
