@@ -152,7 +152,8 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: st
     gone, repeated = kept.select(key_id, key_digest), kept.filter("kept").select(key_id, key_digest)
     digest = F.unhex(F.sha2(text_or_empty(), 256))
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col(key_id)) & (digest == F.col(key_digest))
-    single = docs.join(gone, same, "left_anti")
+    # A merge join whatever its size: a broadcast would end once many rows go, and disk then jumps.
+    single = docs.join(gone.hint("merge"), same, "left_anti")
     if repeated.isEmpty():
         return single
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

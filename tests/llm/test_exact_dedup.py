@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seqloom import runtime
 from seqloom.llm import exact_dedup as d
+from seqloom.llm import near_text
 from seqloom.runtime import Scratch
 
 
@@ -118,3 +119,10 @@ def test_filter_keeps_one_of_each(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert d.deduplicate(none).collect() == [] and d.drop_duplicates(none).collect() == []
+
+
+def test_texts_meet_what_goes_in_a_merge_join(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    for filtered in (d.drop_duplicates(docs), near_text.drop_near_copies(docs)):
+        plan = filtered._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
